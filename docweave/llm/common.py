@@ -105,16 +105,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Spans:
-    """64-bit hashes of any spans of a byte buffer from one prefix pass."""
+    """64-bit hashes of any spans of an array of 64-bit values from one prefix pass."""
 
-    def __init__(self, raw: np.ndarray):
-        n = len(raw)
+    def __init__(self, values: np.ndarray):
+        n = len(values)
         with np.errstate(over="ignore"):
             power = np.full(n + 1, BASE, np.uint64)
             power[0] = 1
             np.multiply.accumulate(power, out=power)
             self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[raw] * power[:n], out=self.prefix[1:])
+            np.cumsum(values * power[:n], out=self.prefix[1:])
             inverse = np.full(n + 1, BASE_INVERSE, np.uint64)
             inverse[0] = 1
             np.multiply.accumulate(inverse, out=inverse)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, Spans, mix, read, slices, utf8, window_hash, words
+from .common import BYTE_VALUE, IS_SPACE, Spans, mix, read, slices, utf8, window_hash, words
 
 #: Most of a document's word characters that may lie in n-grams found twice or more, by n.
 MOST_IN_NGRAMS = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
@@ -47,7 +47,7 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     solid = ~IS_SPACE[raw]
     symbol = np.zeros(256, bool)
     symbol[list(b"#*$%&|<>")] = True
-    spans = Spans(raw)
+    spans = Spans(BYTE_VALUE[raw])
     start, end, first = words(raw, at)
     n_words = np.diff(first)
     doc = np.repeat(np.arange(n_docs), n_words)
