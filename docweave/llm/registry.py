@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, repetition, simhash, substring, token_counts
+from . import knn, mixing, packing, repetition, simhash, substring, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_mixing": mixing.op3_mixing,
     "op4_substring": substring.op4_substring,
+    "op5_knn": knn.op5_knn,
     "op7_repetition": repetition.op7_repetition,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring": substring.OP4_SQL,
+    "op5_knn": knn.OP5_SQL,
 }
