@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import knn, mixing, packing, repetition, simhash, substring, token_counts
+from . import knn, mixing, packing, repetition, simhash, substring, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_knn": knn.op5_knn,
     "op7_repetition": repetition.op7_repetition,
     "op9_simhash": simhash.op9_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
