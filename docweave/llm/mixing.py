@@ -38,11 +38,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``src`` (a source name that is never null), ``size`` and a ``class`` that only repeated rows share."""
+def keyed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """The ``extra`` columns of ``docs`` with ``src`` (a source name that is never null), ``size`` and a ``class`` that only repeated rows share."""
     k1, k2 = doc_key()
     src = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
-    return docs.select("*", src.alias("src"), size_of(F.col("text").cast("string")).alias("size"), F.xxhash64(k1, k2).alias("class"))
+    return docs.select(*extra, src.alias("src"), size_of(F.col("text").cast("string")).alias("size"), F.xxhash64(k1, k2).alias("class"))
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -141,17 +141,17 @@ def _own_copies(rows: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of ``docs`` (doc_id, text, source)."""
-    sized = stored(keyed(docs.select("doc_id", "text", "source")).select(F.col("doc_id").cast("long").alias("doc_id"), "src", "size", "class"), "sized")
+    sized = stored(keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), "sized")
     rows = _own_copies(sized.join(allocate(sized, weights, most), ["src", "size", "class"]))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("own") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    rows = keyed(docs)
-    chosen = stored(allocate(rows.select("src", "size", "class"), weights, most), "mix").where("copies > 0").select("src", "size", "class", "n", "copies")
+    rows = keyed(docs, F.struct(*docs.columns).alias("row"))
+    chosen = stored(allocate(rows.drop("row"), weights, most), "mix").where("copies > 0").select("src", "size", "class", "n", "copies")
     rows = _own_copies(rows.join(chosen, ["src", "size", "class"])).where("own > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select(*docs.columns)
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, read, slices, stored
+from .common import doc_key, mix, read, slices, stored
 from .components import components, local_stars
 
 SEED = 42
@@ -219,19 +219,34 @@ def links(classes: DataFrame, n: int, distance: int) -> DataFrame:
     return cells.repartition(tasks, "key").mapInArrow(in_cells, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4, keep: tuple = ()) -> DataFrame:
-    """doc_id (or the ``keep`` columns, doc_id among them), ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
-
-    Components are of all fingerprints that link at ``distance`` or fewer
-    differing bits; their name is the smallest doc_id in them.
-    """
+def _grouped(docs: DataFrame, words: int, distance: int, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``keep`` columns and ``fp``; and for every fp its component's ``root`` fp and ``component_id``."""
     docs = stored(fingerprints(docs, words, keep), "fingerprints")
     classes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = components(links(classes, classes.count(), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     name = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(rooted.join(name, "root").select("fp", "component_id"), "named")
-    return docs.join(named, "fp").select(*(c for c in docs.columns if c != "fp"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs, stored(rooted.join(name, "root").select("fp", "root", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+    """doc_id, ``fingerprint`` (16 hex digits) and ``component_id`` of every row of ``docs`` (doc_id, text).
+
+    Components are of all fingerprints that link at ``distance`` or fewer
+    differing bits; their name is the smallest doc_id in them.
+    """
+    rows, named = _grouped(docs, words, distance)
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+    """One row of each component of ``docs``, all columns: that of its smallest doc_id."""
+    keys = doc_key()
+    rows, named = _grouped(docs, words, distance, (F.col("doc_id").cast("long").alias("doc_id"), *keys))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first")
+    kept = stored(rows.join(named, "fp").groupBy("root").agg(first).select("first.k1", "first.k2"), "kept")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *keys)
+    return whole.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

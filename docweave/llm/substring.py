@@ -21,8 +21,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BYTE_VALUE, Spans, doc_key, read, slices, stored, utf8, window_hash, words
 from .fm_index import FMIndex, repeated_windows
@@ -179,9 +180,9 @@ def covered(n: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` and their repeated spans; doc_key's columns are added."""
-    keyed = docs.select("*", *doc_key())
+def _with_spans(docs: DataFrame, window: int, *extra: Column) -> DataFrame:
+    """The ``extra`` columns of every row of ``docs``, its ``text`` and its repeated ``spans``."""
+    keyed = docs.select(*extra, F.col("text").cast("string").alias("text"), *doc_key())
     return keyed.join(repeated_passages(keyed.select("k1", "k2", "text"), window), ["k1", "k2"], "left").drop("k1", "k2")
 
 
@@ -201,8 +202,7 @@ def word_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_spans(plain, window).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs, window, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -224,10 +224,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     np.add.at(edge, np.append(start, len(raw))[1:][gone], -1)
                     text = raw[np.cumsum(edge[:-1]) == 0].tobytes().decode()
                 texts.append(text)
-            names = [c for c in batch.schema.names if c != "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return _with_spans(docs, window).mapInArrow(run, docs.schema)
+    others = [c for c in docs.columns if c != "text"]
+    rows = _with_spans(docs, window, F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
+    return rows.mapInArrow(run, schema).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import process_cache, read, slices, stored
 
@@ -210,16 +211,16 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray) -> tuple[dict[st
     return {f: float(weight[i]) for f, i in index.items() if abs(weight[i]) > 1e-4}, bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple = ()) -> DataFrame:
-    """doc_id (or the ``keep`` columns), held_out, score and predicted of every row of ``docs`` (doc_id, text)."""
+def _scored(docs: DataFrame, labels: DataFrame, extra: tuple) -> DataFrame:
+    """The ``extra`` columns and ``score`` of every row of ``docs`` (doc_id, text)."""
     cost = language_model(docs)
     weight, bias = learn(docs, labels, cost)
     model = f"words {hash((tuple(sorted(weight.items())), cost.tobytes()))}"
     number = {f: i for i, f in enumerate(weight)}
     values = np.array(list(weight.values()))
-    source = docs.select(*(keep or (F.col("doc_id").cast("long").alias("doc_id"),)), F.col("text").cast("string").alias("text"))
-    out = [f for f in source.schema.fields if keep or f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out), "score double"])
+    source = docs.select(*extra, F.col("text").cast("string").alias("_text"))
+    out = [f for f in source.schema.fields if f.name != "_text"]
+    schema = T.StructType([*out, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         reader = Reader(cost)
@@ -231,7 +232,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple = ()) -> DataFrame:
 
         for batch in batches:
             scores = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("_text").to_pylist():
                 text = text or ""
                 if len(seen) > MOST_WORDS:
                     seen.clear()
@@ -248,9 +249,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple = ()) -> DataFrame:
                 scores.append(1 / (1 + np.exp(-max(min(total, 50.0), -50.0))) if bias > float("-inf") else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(scores, pa.float64())], names=[*(f.name for f in out), "score"])
 
-    scored = source.mapInArrow(run, schema)
-    scored = scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    return scored if keep else scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return source.mapInArrow(run, schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text)."""
+    scored = _scored(docs, labels, (F.col("doc_id").cast("long").alias("doc_id"),))
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    return _scored(docs, labels, (F.struct(*docs.columns).alias("row"),)).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
