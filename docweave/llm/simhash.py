@@ -109,7 +109,7 @@ def n_blocks(n: int, distance: int) -> int:
     Two random counts of a segment agree with probability 3/8.
     """
     cost = lambda m: comb(m, distance) * (n + n * n / 2 * 0.375 ** (SEGMENTS * (m - distance) / m) / 50)
-    return min(range(distance + 1, 2 * distance + 5), key=cost)
+    return min(range(distance + 2, 2 * distance + 5), key=cost)
 
 
 def cell_links(key: np.ndarray, fp: np.ndarray, grid: np.ndarray, masks: list[int], choices: list[tuple], distance: int) -> tuple[np.ndarray, np.ndarray]:
