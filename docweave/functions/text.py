@@ -157,11 +157,12 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def critical_fields(column: Column) -> Column:
     """array<struct(kind, value)>: every match of every kind of field, whole matches, stripped."""
-    found = []
-    for kind, pattern in FIELDS.items():
+
+    def of_kind(kind: str, pattern: str) -> Column:
         hits = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(UNICODE + pattern), F.lit(0))
-        found.append(F.transform(hits, lambda v, k=kind: F.struct(F.lit(k).alias("kind"), strip(v).alias("value"))))
-    return F.concat(*found)
+        return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), strip(v).alias("value")))
+
+    return F.concat(*(of_kind(k, p) for k, p in FIELDS.items()))
 
 
 def critical_field_spans(column: Column) -> Column:

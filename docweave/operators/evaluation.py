@@ -69,12 +69,12 @@ def kendall_tau(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 def cells(tables: DataFrame, *key: str) -> DataFrame:
     """The normalised cells of tables (key..., cell_matrix) as rows with their number."""
     flat = tables.select(*key, F.explode(F.flatten("cell_matrix")).alias("cell")).withColumn("cell", text.collapse(text.text_of("cell")))
-    return flat.groupBy(*key, "cell").agg(F.count("*").alias("n"))
+    return flat.groupBy(*key, "cell").agg(F.count("*").alias("n_cells"))
 
 
 def cell_f1(predicted: DataFrame, truth: DataFrame, *key: str) -> DataFrame:
     """F1 of the multisets of cells of tables with the same key, wherever the cells stand."""
-    both = cells(predicted, *key).withColumnRenamed("n", "p").join(cells(truth, *key).withColumnRenamed("n", "t"), [*key, "cell"], "full")
+    both = cells(predicted, *key).withColumnRenamed("n_cells", "p").join(cells(truth, *key).withColumnRenamed("n_cells", "t"), [*key, "cell"], "full")
     sums = both.groupBy(*key).agg(F.sum(F.least(F.coalesce("p", F.lit(0)), F.coalesce("t", F.lit(0)))).alias("tp"), F.sum(F.coalesce("p", F.lit(0))).alias("np"), F.sum(F.coalesce("t", F.lit(0))).alias("nt"))
     return sums.select(*key, f1(F.col("tp"), F.col("np"), F.col("nt")).alias("f1"))
 

@@ -7,11 +7,11 @@ before it, so neither recursion nor a join is needed.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
+from ..functions.folds import fold_documents
 from .blocks import to_nodes
 
 LEVELS = range(1, 7)
@@ -132,29 +132,26 @@ def missing_tables(nodes: DataFrame, tables: DataFrame, headings: DataFrame) ->
 def pair_captions(nodes: DataFrame, ratio: float = CAPTION_RATIO, same_page: bool = False) -> DataFrame:
     """doc_id, image_id, caption_id (or null) and need_review: images take, in order, the nearest caption that is still free.
 
-    The choice of one image depends on those before it, which no window
-    expresses; a document's few images and captions meet in one call.
+    The choice of one image depends on those before it, which no window expresses.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        captions = pdf[pdf.node_type == "caption"]
-        free, rows = dict(zip(captions.node_id, zip(captions.y1, captions.page_id, strict=True), strict=True)), []
-        for image in pdf[pdf.node_type == "image"].itertuples():
+    def run(rows: list[dict]):
+        rows = sorted(rows, key=lambda r: r["pos"])
+        free = {r["node_id"]: r for r in rows if r["node_type"] == "caption"}
+        for image in (r for r in rows if r["node_type"] == "image"):
             best, least = None, float("inf")
-            for node_id, (y, page) in free.items():
-                if same_page and page != image.page_id:
+            for node_id, caption in free.items():
+                if same_page and caption["page_id"] != image["page_id"]:
                     continue
-                far = y - image.y2 if y >= image.y1 else image.y1 - y
-                if far <= (image.y2 - image.y1) * ratio and far < least:
+                y = caption["y1"]
+                far = y - image["y2"] if y >= image["y1"] else image["y1"] - y
+                if far <= (image["y2"] - image["y1"]) * ratio and far < least:
                     best, least = node_id, far
             free.pop(best, None)
-            rows.append((image.doc_id, image.node_id, best, best is None))
-        return pd.DataFrame(rows, columns=["doc_id", "image_id", "caption_id", "need_review"])
+            yield image["node_id"], best, best is None
 
-    few = nodes.where("node_type IN ('image', 'caption')")
-    kind = few.schema["doc_id"].dataType.simpleString()
-    return few.select("doc_id", "pos", "node_id", "node_type", "page_id", F.col("bbox")["y1"].alias("y1"), F.col("bbox")["y2"].alias("y2")).groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, image_id string, caption_id string, need_review boolean")
+    few = nodes.where("node_type IN ('image', 'caption')").select("doc_id", "pos", "node_id", "node_type", "page_id", F.col("bbox")["y1"].alias("y1"), F.col("bbox")["y2"].alias("y2"))
+    return fold_documents(few, ["pos", "node_id", "node_type", "page_id", "y1", "y2"], run, "image_id string, caption_id string, need_review boolean")
 
 
 def tree_hash(nodes: DataFrame) -> DataFrame:

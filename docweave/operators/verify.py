@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
+from ..functions.folds import fold_documents
 
 WEAK, STRONG = 0.80, 0.95
 
@@ -28,18 +28,15 @@ def align(blocks: DataFrame, spans: DataFrame, same_page: bool = False) -> DataF
     pairs = near.withColumn("similarity", text.similarity(F.col("b")["text"], F.col("s")["text"])).where(F.col("similarity") >= WEAK)
     pairs = pairs.select("doc_id", F.col("b.pos").alias("bp"), F.col("b.block_id").alias("block_id"), F.col("s.pos").alias("sp"), F.col("s.object_id").alias("object_id"), "similarity", boxes.overlaps(F.col("b")["bbox"], F.col("s")["bbox"]).alias("overlap"))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["similarity", "overlap", "bp", "sp"], ascending=[False, False, True, True], kind="stable")
-        used_b, used_s, keep = set(), set(), []
-        for i, b, s in zip(pdf.index, pdf.block_id, pdf.object_id, strict=True):
-            if b not in used_b and s not in used_s:
-                used_b.add(b)
-                used_s.add(s)
-                keep.append(i)
-        return pdf.loc[keep, ["doc_id", "block_id", "object_id", "similarity", "overlap"]]
-
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    matched = pairs.groupBy("doc_id").applyInPandas(greedy, f"doc_id {kind}, block_id string, object_id string, similarity double, overlap boolean")
+    def greedy(rows: list[dict]):
+        used_b, used_s = set(), set()
+        for r in sorted(rows, key=lambda r: (-r["similarity"], not r["overlap"], r["bp"], r["sp"])):
+            if r["block_id"] not in used_b and r["object_id"] not in used_s:
+                used_b.add(r["block_id"])
+                used_s.add(r["object_id"])
+                yield r["block_id"], r["object_id"], r["similarity"], r["overlap"]
+
+    matched = fold_documents(pairs, ["bp", "block_id", "sp", "object_id", "similarity", "overlap"], greedy, "block_id string, object_id string, similarity double, overlap boolean")
     strong = (F.col("similarity") >= STRONG) & F.col("overlap")
     found = said.select("doc_id", F.col("b.block_id").alias("block_id")).join(matched, ["doc_id", "block_id"], "left")
     level = F.when(F.col("object_id").isNull(), "none").when(strong, "strong").otherwise("weak")

@@ -19,7 +19,7 @@ LINES = """lines AS (
 HEADINGS = """hr AS (
   SELECT r_regionkey AS doc_id, 0 AS a, 0 AS b, (r_regionkey + 1) || '. ' || r_name AS text FROM region
   UNION ALL SELECT n_regionkey, n_nationkey + 1, 0, (n_regionkey + 1) || '.' || (n_nationkey + 1) || ' ' || n_name FROM nation
-  UNION ALL SELECT n_regionkey, n_nationkey + 1, c_custkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || c_custkey || ' ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT n_regionkey, n_nationkey + 1, c_custkey + 1, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || c_custkey || ' ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), headings AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS pos,
   CASE WHEN b > 0 THEN 3 WHEN a > 0 THEN 2 ELSE 1 END AS level, split_part(text, ' ', 1) AS number FROM hr),
 parents AS (SELECT h.*, (SELECT max(p.pos) FROM headings p WHERE p.doc_id = h.doc_id AND p.pos < h.pos AND p.level < h.level) AS parent FROM
@@ -113,9 +113,9 @@ def page_size_infer(spark, sf_dir):
 
 
 @query(f"""WITH {BOXES}, v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id, round(x1, 1), round(y1, 1), kind ORDER BY pos) AS n FROM boxes WHERE x2 > x1 AND y2 > y1)
-SELECT doc_id, pos, CASE WHEN kind = 'title' AND NOT coalesce(level BETWEEN 1 AND 6, false) THEN 1 ELSE level END AS local_level, CASE WHEN kind = 'title' AND NOT coalesce(level BETWEEN 1 AND 6, false) THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM v WHERE n = 1""", "doc_id long, pos long, local_level long, confidence double")
+SELECT doc_id, pos, CASE WHEN kind = 'title' AND NOT coalesce(level BETWEEN 1 AND 6, false) THEN 1 ELSE coalesce(level, 0) END AS local_level, CASE WHEN kind = 'title' AND NOT coalesce(level BETWEEN 1 AND 6, false) THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence FROM v WHERE n = 1""", "doc_id long, pos long, local_level long, confidence double")
 def block_validate_dedup(spark, sf_dir):
-    return blocks.validate(T.line_boxes(spark, sf_dir))
+    return blocks.validate(T.line_boxes(spark, sf_dir)).withColumn("local_level", F.coalesce("local_level", F.lit(0)))
 
 
 @query(f"""WITH {BOXES} SELECT doc_id, pos FROM boxes WHERE x1 >= 0 AND y1 >= 0 AND x2 <= 596 AND y2 <= 843 AND (x2 - x1) * (y2 - y1) >= 1
@@ -213,13 +213,17 @@ def image_caption_pairs(spark, sf_dir):
     return tree.pair_captions(T.line_boxes(spark, sf_dir).withColumnRenamed("block_id", "node_id").withColumnRenamed("block_type", "node_type"))
 
 
-@query(f"""WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY pos DESC) AS z FROM line_blocks),
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, page_id, regexp_replace(substr(text, 1, 60), '[.,!?;:"]', '', 'g') AS text FROM line_blocks),
+f AS (SELECT doc_id, pos // 4 + 1 AS page_id, pos, text FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY pos DESC) AS z FROM f),
 k AS (SELECT doc_id, pos, page_id, text, a, z, list_distinct([w FOR w IN string_split_regex(lower({STRIP.format('text')}), '\\s+') IF length(w) > 1]) AS w FROM r WHERE a <= 3 OR z <= 3),
 p AS (SELECT t.doc_id, t.pos AS tail_pos, h.pos AS head_pos, row_number() OVER (PARTITION BY t.doc_id, t.pos ORDER BY h.pos) AS n FROM k t JOIN k h ON h.doc_id = t.doc_id AND h.page_id = t.page_id + 1 AND t.z <= 3 AND h.a <= 3
- WHERE t.text <> '' AND h.text <> '' AND NOT regexp_matches(t.text, '[.!?;:"。！？；：]\\s*$') AND len(t.w) > 0 AND len(h.w) > 0 AND len(list_intersect(t.w, h.w)) / len(list_distinct(list_concat(t.w, h.w))) >= 0.3)
+ WHERE t.text <> '' AND h.text <> '' AND len(t.w) > 0 AND len(h.w) > 0 AND len(list_intersect(t.w, h.w)) / len(list_distinct(list_concat(t.w, h.w))) >= 0.3)
 SELECT doc_id, tail_pos, head_pos FROM p WHERE n = 1""", "doc_id long, tail_pos long, head_pos long")
 def cross_page_paragraphs(spark, sf_dir):
-    return crosspage.split_paragraphs(T.line_blocks(spark, sf_dir))
+    """The first sixty characters of every line, without signs, on pages of four."""
+    x = T.line_blocks(spark, sf_dir).withColumn("text", F.regexp_replace(F.substring("text", 1, 60), '[.,!?;:"]', "")).withColumn("page_id", (F.floor(F.col("pos") / 4) + 1).cast("int"))
+    return crosspage.split_paragraphs(x)
 
 
 @query("""WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, 50 + o_orderkey % 3 * 20 AS x1 FROM orders),
@@ -415,7 +419,7 @@ def go_no_go(spark, sf_dir):
     return evaluation.go_no_go(_fidelity(spark, sf_dir))
 
 
-@query("SELECT conv_id AS doc_id, role AS task, count(*) AS n, sum(count(*)) OVER w AS total, greatest(0, 4 - sum(count(*)) OVER w) AS remaining, sum(count(*)) OVER w >= 4 AS exceeded FROM conversations GROUP BY conv_id, role WINDOW w AS (PARTITION BY conv_id)", "doc_id long, task string, n long, total long, remaining long, exceeded boolean")
+@query("SELECT conv_id AS doc_id, role AS task, count(*) AS n, (sum(count(*)) OVER w)::BIGINT AS total, greatest(0, 4 - sum(count(*)) OVER w)::BIGINT AS remaining, sum(count(*)) OVER w >= 4 AS exceeded FROM conversations GROUP BY conv_id, role WINDOW w AS (PARTITION BY conv_id)", "doc_id long, task string, n long, total long, remaining long, exceeded boolean")
 def llm_cost(spark, sf_dir):
     """Turns of the conversations as calls, by role, against a budget of four."""
     return evaluation.call_costs(T.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("task")), 4)

@@ -34,7 +34,7 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = r.select(F.col("r_regionkey").alias("doc_id"), F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), F.concat(rk, F.lit(". "), "r_name").alias("text"))
     middle = rn.select(F.col("r_regionkey").alias("doc_id"), (F.col("n_nationkey") + 1).alias("a"), F.lit(0).cast("long").alias("b"), F.concat(rk, F.lit("."), nk, F.lit(" "), "n_name").alias("text"))
     leaf = c.join(rn, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("r_regionkey").alias("doc_id"), (F.col("n_nationkey") + 1).alias("a"), F.col("c_custkey").alias("b"), F.concat(rk, F.lit("."), nk, F.lit("."), F.col("c_custkey").cast("string"), F.lit(" "), "c_name").alias("text")
+        F.col("r_regionkey").alias("doc_id"), (F.col("n_nationkey") + 1).alias("a"), (F.col("c_custkey") + 1).alias("b"), F.concat(rk, F.lit("."), nk, F.lit("."), F.col("c_custkey").cast("string"), F.lit(" "), "c_name").alias("text")
     )
     order = Window.partitionBy("doc_id").orderBy("a", "b")
     rows = top.union(middle).union(leaf).withColumn("pos", F.row_number().over(order))
