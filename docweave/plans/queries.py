@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
-from ..operators import blocks, crosspage, evaluation, tree, verify
+from ..operators import blocks, cleaning, crosspage, evaluation, judge, render, tree, verify
+from ..sources import content_json
 from ..sources import tables as T
+from . import pipeline
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -423,3 +425,98 @@ def go_no_go(spark, sf_dir):
 def llm_cost(spark, sf_dir):
     """Turns of the conversations as calls, by role, against a budget of four."""
     return evaluation.call_costs(T.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("task")), 4)
+
+
+def _content_lists(spark, sf_dir):
+    """The elements of the web pages as provider files: (doc_id, content) with one page each."""
+    x = T.page_elements(spark, sf_dir)
+    b = F.col("bbox")
+    item = F.struct(F.col("block_type").alias("type"), F.struct(F.col("text").alias("text"), F.lit(2).alias("level")).alias("content"), F.array(b["x1"], b["y1"], b["x2"], b["y2"]).alias("bbox"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))), lambda r: r["i"])
+    return x.groupBy("doc_id").agg(F.to_json(F.array(items)).alias("content"))
+
+
+CLEAN = r"regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')"
+
+
+@query(f"""WITH {ELEMENTS}, n AS (SELECT doc_id, kind, {CLEAN} AS t FROM elements) SELECT doc_id, kind AS block_type, count(*) AS n, sum(length(t))::BIGINT AS n_chars, max(CASE WHEN kind = 'title' THEN 2 ELSE 0 END) AS level FROM n GROUP BY ALL""", "doc_id long, block_type string, n long, n_chars long, level long")
+def content_list_parse(spark, sf_dir):
+    """Provider files read back as blocks."""
+    x = content_json.content_list_v2(_content_lists(spark, sf_dir))
+    return x.groupBy("doc_id", "block_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.coalesce(F.max("local_level"), F.lit(0)).alias("level"))
+
+
+@query(schema="doc_id long, pos long, block_type string, local_level long, text string")
+def rule_blocks(spark, sf_dir):
+    """Orders' list lines as text objects of varying size, typed by rule."""
+    x = T.order_lists(spark, sf_dir).withColumn("line", F.col("pos")).withColumn("font_size", (F.col("pos") % 5 + 10).cast("double"))
+    return content_json.rule_blocks(x)
+
+
+@query(schema="rule string, n_changes long")
+def xml_clean_counts(spark, sf_dir):
+    """Lines of the documents in DOCX files with every third line inserted, fourth deleted, fifth hidden and seventh struck."""
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    line = F.regexp_replace("text", r"[<&\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    n = F.col("pos")
+    marks = F.concat(F.when(n % 5 == 0, "<w:vanish/>").otherwise(""), F.when(n % 7 == 0, "<w:strike/>").otherwise(""))
+    run = F.concat(F.lit("<w:r><w:rPr>"), marks, F.lit("</w:rPr><w:t>"), line, F.lit("</w:t></w:r>"))
+    run = F.when(n % 3 == 0, F.concat(F.lit("<w:ins>"), run, F.lit("</w:ins>"))).when(n % 4 == 0, F.concat(F.lit("<w:del>"), run, F.lit("</w:del>"))).otherwise(run)
+    lines = T.line_blocks(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("<w:p>"), run, F.lit("</w:p>")).alias("p"))
+    xml = lines.groupBy("doc_id").agg(F.concat(F.lit(f"<w:document {ns}><w:body>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda r: r["p"]), ""), F.lit("</w:body></w:document>")).alias("xml"))
+
+    @F.pandas_udf("binary")
+    def zipped(texts):
+        import io
+        import zipfile
+
+        def one(text):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/document.xml", text)
+            return out.getvalue()
+
+        return texts.map(one)
+
+    return cleaning.changes_by_rule(cleaning.clean(xml.select("doc_id", zipped("xml").alias("content"))))
+
+
+ORACLE_SQL["xml_clean_counts"] = f"""WITH {LINES}, m AS (SELECT *, pos % 3 <> 0 AND pos % 4 = 0 AS gone FROM lines)
+SELECT 'accept_revisions' AS rule, count(*) FILTER (pos % 3 = 0 OR pos % 4 = 0) AS n_changes FROM m
+UNION ALL SELECT 'remove_vanish', count(*) FILTER (NOT gone AND pos % 5 = 0) FROM m
+UNION ALL SELECT 'remove_strikethrough', count(*) FILTER (NOT gone AND pos % 5 <> 0 AND pos % 7 = 0) FROM m
+UNION ALL SELECT 'strip_comments', 0 UNION ALL SELECT 'freeze_fields', 0 UNION ALL SELECT 'strip_macros', 0"""
+
+
+@query(f"""WITH {ELEMENTS} SELECT CASE WHEN kind = 'title' THEN 'Heading1' WHEN kind = 'list' THEN 'ListParagraph' ELSE 'Normal' END AS style_id, CASE WHEN kind = 'title' THEN 22.0 ELSE 12.0 END::DOUBLE AS size, count(*) AS n FROM elements GROUP BY ALL""", "style_id string, size double, n long")
+def render_styles(spark, sf_dir):
+    x = T.page_elements(spark, sf_dir).withColumn("node_type", F.when(F.col("block_type") == "title", "heading").otherwise(F.col("block_type"))).withColumn("global_level", F.col("local_level"))
+    return render.with_style(x).groupBy(F.col("style.style_id").alias("style_id"), F.col("style.size").alias("size")).agg(F.count("*").alias("n"))
+
+
+@query(schema="doc_id long, n_bytes long")
+def render_files(spark, sf_dir):
+    """The web pages' trees as clean DOCX files."""
+    return render.render(tree.build_tree(blocks.preprocess(T.page_elements(spark, sf_dir)))).withColumn("n_bytes", F.length("content"))
+
+
+@query(f"""WITH {ELEMENTS}, w AS (SELECT doc_id, tag, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM elements WHERE tag IN ('title', 'h1')),
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id) SELECT doc_id, n AS n_questions, 0::BIGINT AS n_failed FROM n""", "doc_id long, n_questions long, n_failed long")
+def semantic_checks(spark, sf_dir):
+    """Titles of the web pages put to a provider that has no findings."""
+
+    class Quiet:
+        def chat(self, **_):
+            return "[]"
+
+    x = T.page_elements(spark, sf_dir).where(F.col("tag").isin("title", "h1"))
+    asked = judge.ask(x.select("doc_id", "pos", F.lit("semantic_check").alias("task"), judge.check_prompt(F.col("text"), F.lit(None)).alias("prompt")), Quiet())
+    return asked.groupBy("doc_id").agg(F.count("*").alias("n_questions"), F.count("error").alias("n_failed"))
+
+
+@query(schema="doc_id long, model_versions string, n_nodes long, review_queue_count long, review_ratio double")
+def reconstruct(spark, sf_dir):
+    """The whole plan over the web pages: headers of the trees, with the pages' own text as spans."""
+    x = T.page_elements(spark, sf_dir)
+    spans = x.select("doc_id", "pos", F.concat(F.lit("s"), F.col("pos").cast("string")).alias("object_id"), "page_id", "bbox", "text", F.lit("text_span").alias("kind"), F.lit(None).cast("int").alias("row_count"), F.lit(None).cast("int").alias("col_count"), F.lit(None).cast("array<array<string>>").alias("cell_matrix"))
+    return pipeline.run(x.drop("tag"), spans).headers
