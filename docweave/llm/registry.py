@@ -21,5 +21,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring": substring.OP4_SQL,
     "op5_knn": knn.OP5_SQL,
     "op6_url_lists": url_lists.OP6_SQL,
+    "op7_repetition": repetition.OP7_SQL,
     "op8_licenses": licenses.OP8_SQL,
 }

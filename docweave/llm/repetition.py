@@ -119,3 +119,30 @@ def repetition_coverage(docs: DataFrame) -> DataFrame:
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_coverage(read(spark, sf_dir, "documents"))
+
+def _oracle() -> str:
+    grams = "\n".join(
+        f"""g{n} AS (SELECT row, i, md5(array_to_string(w[i:i + {n - 1}], ' ')) AS h FROM (SELECT row, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n})),
+t{n} AS (SELECT row, i FROM g{n} QUALIFY count(*) OVER (PARTITION BY row, h) > 1),
+c{n} AS (SELECT row, count(*) AS repeats, sum(length(w[i]))::BIGINT AS chars FROM (SELECT DISTINCT row, unnest(range(i, i + {n})) AS i FROM t{n}) JOIN d USING (row) GROUP BY row),"""
+        for n in MOST_IN_NGRAMS
+    )
+    joins = " ".join(f"LEFT JOIN c{n} USING (row)" for n in MOST_IN_NGRAMS)
+    chars = ", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS dup_chars_{n}" for n in MOST_IN_NGRAMS)
+    over = " OR ".join(f"dup_chars_{n} > {most}::DOUBLE * word_chars" for n, most in MOST_IN_NGRAMS.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+{grams}
+l AS (SELECT row, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY row, line ORDER BY k) AS times FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT row, count(*) FILTER (times > 1) AS dup, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (times > 1), 0) AS dup_chars FROM n GROUP BY row),
+r AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(s.dup, 0)::BIGINT AS n_dup_lines, coalesce(c8.repeats, 0)::BIGINT AS n_repeat_words, coalesce(s.chars, 0)::BIGINT AS line_chars, coalesce(s.dup_chars, 0)::BIGINT AS dup_line_chars, {chars}
+  FROM d LEFT JOIN s USING (row) {joins})
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (dup_line_chars > {MOST_IN_LINES}::DOUBLE * line_chars OR {over}) AS kept
+FROM r
+"""
+
+
+OP7_SQL = _oracle()
