@@ -42,9 +42,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def process_cache(name: str, make):
-    """A value that lives as long as the Python worker, whichever task asks for it."""
+    """A value that lives in the Python worker until a task asks for another: workers outlast tasks, so at most one is kept."""
     held = sys.__dict__.setdefault("_docweave_process_cache", {})
     if name not in held:
+        held.clear()
         held[name] = make()
     return held[name]
 

@@ -33,7 +33,7 @@ MOST_LABELLED = 8_000
 MOST_FEATURES = 4_000
 LEAST_SEEN = 3
 #: Words whose features a Python worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 #: Character classes of the model: 0 a boundary, 1-26 the letters without accents, 27 other letters.
 CLASSES = 28
