@@ -34,7 +34,7 @@ ANCHOR = 8
 #: The low bits of a hash that give way to a place when the smallest is sought.
 PLACE = np.uint64((1 << 28) - 1)
 #: Words in a shard, about.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: A hash with more different segments than this is dealt anew by window.
 HOT = 2_000
 
@@ -89,7 +89,8 @@ def _all_segments(docs: DataFrame, window: int, full: bool) -> DataFrame:
 
 def _extracted(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """The words of the chosen segments, or of each of their windows where they are hot."""
-    lists = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "content", "copies", "hot")).alias("s"))
+    # Stored, as are the other small sides of joins here, so that a key with very many rows can be split over tasks.
+    lists = stored(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "content", "copies", "hot")).alias("s")), "lists")
 
     def run(batches):
         from xxhash import xxh3_64_intdigest as xxh
@@ -148,7 +149,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``docs`` has k1, k2 (see ``doc_key``) and text.
     """
-    repeated = _all_segments(docs, window, False).groupBy("anchor").count().where("count > 1").select("anchor")
+    repeated = stored(_all_segments(docs, window, False).groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     candidates = stored(_all_segments(docs, window, True).join(repeated, "anchor"), "candidates")
     chosen = candidates.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
     chosen = stored(chosen.select("anchor", "content", "copies", "at.*"), "chosen")
@@ -168,7 +169,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         back = apart.withColumn("of", F.xxhash64("words")).join(stored(again, "hot"), ["route", "of"])
         result = result.union(back.select("anchor", "content", F.col("offset").alias("lo"), (F.col("offset") + 1).alias("hi")))
     spans = candidates.join(stored(result, "repeats"), ["anchor", "content"]).select("k1", "k2", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + window - 1).alias("hi")).alias("span"))
-    return spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    return stored(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:
