@@ -14,6 +14,9 @@ as many pieces as it takes.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,43 +31,86 @@ LENGTH = 4096
 END_ID = 1
 #: Pieces in a shard. A shard wastes at most part of its last few sequences.
 SHARD_PIECES = 40_000
-#: Distinct words whose ids a Python worker remembers.
-MOST_WORDS = 1_000_000
+#: Distinct words, and pre-tokens, whose ids a Python worker remembers.
+MOST_WORDS = 800_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Letters whose lower case is not the same everywhere, and signs that end most words.
+ODD = re.compile("[\u0130\u03a3]")
+SIGNS = frozenset(".,!?;:")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte beyond ASCII: itself, or the next one from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + others.index(b)) if b in others else chr(b) for b in range(0x80, 0x100)}
+
+
 class WordIds:
     """Token ids of whole texts, remembered by white-space separated word.
 
-    The tokenizer splits at white space before it merges, so a text's ids are
-    those of its words in turn. Texts that may hold a special token's string go
-    to the tokenizer whole.
+    The tokenizer lower-cases, splits at white space and by a pattern, and
+    merges within the pre-tokens so found; so a text's ids are those of its
+    words' pre-tokens in turn. New pre-tokens go to its merges alone, many at a
+    time. Words with letters or signs that libraries may treat differently, and
+    texts that may hold a special token's string, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        usual = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and split["behavior"] == "Removed" and split["invert"]
+        if not usual or level["type"] != "ByteLevel" or level["add_prefix_space"] or spec["model"]["end_of_word_suffix"] != "</w>":
+            raise ValueError("only lower-casing byte-level tokenizers that split by a pattern and mark word ends")
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merges = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
+        self.split = regex.compile(split["pattern"]["Regex"]).findall
+        self.letters = byte_letters()
         self.seen: dict[bytes, bytes] = {}
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content.encode() for t in added.values()]
-        self.between_id, between = max(added.items())
-        self.between = between.content
+        self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def parts(self, word: bytes) -> list[str] | None:
+        """A word's pre-tokens, or None if it is to be asked for whole."""
+        text = word.decode()
+        if not text.isascii() and (ODD.search(text) or not unicodedata.is_normalized("NFC", text)):
+            return None
+        text = text.lower()
+        if text.isalpha():
+            return [text]
+        if text[-1] in SIGNS and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self.split(text) if text.isprintable() else None
+
     def learn(self, new: list[bytes]) -> None:
-        """Remember the ids of words, asked for many at a time with a special token between them."""
-        for lo in range(0, len(new), 512):
-            some = new[lo : lo + 512]
-            ids = self.ids(self.between.join(w.decode() for w in some))
-            ends = np.append(np.flatnonzero(ids == self.between_id), len(ids)) * 4
+        """Remember the ids of words."""
+        if len(self.pieces) > MOST_WORDS:
+            self.pieces.clear()
+        split = [self.parts(w) for w in new]
+        missing = list({p for s in split if s for p in s if p not in self.pieces})
+        for lo in range(0, len(missing), 2_000):
+            some = missing[lo : lo + 2_000]
+            ids = np.array(self.merges.encode(" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in some]), add_special_tokens=False).ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             packed, start = ids.tobytes(), 0
-            for word, end in zip(some, ends.tolist(), strict=True):
-                self.seen[word] = packed[start:end]
-                start = end + 4
+            for piece, end in zip(some, ends, strict=True):
+                self.pieces[piece] = packed[start:end]
+                start = end
+        look = self.pieces.__getitem__
+        for word, s in zip(new, split, strict=True):
+            self.seen[word] = self.ids(word.decode()).tobytes() if s is None else look(s[0]) if len(s) == 1 else b"".join(map(look, s))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
