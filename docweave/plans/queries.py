@@ -228,6 +228,12 @@ def cross_page_paragraphs(spark, sf_dir):
     return crosspage.split_paragraphs(x)
 
 
+@query(schema="doc_id long, tail_pos long, head_pos long")
+def cross_page_paragraphs_whole(spark, sf_dir):
+    """The whole lines with their signs, on pages of four."""
+    return crosspage.split_paragraphs(T.line_blocks(spark, sf_dir).withColumn("page_id", (F.floor(F.col("pos") / 4) + 1).cast("int")))
+
+
 @query("""WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, 50 + o_orderkey % 3 * 20 AS x1 FROM orders),
 p AS (SELECT *, (pos - 1) // 7 + 1 AS page, count(*) OVER (PARTITION BY doc_id, (pos - 1) // 7) AS size FROM o)
 SELECT t.doc_id, t.pos AS tail_pos, h.pos AS head_pos FROM p t JOIN p h ON h.doc_id = t.doc_id AND h.page = t.page + 1 AND h.pos = t.pos + 1 AND abs(t.x1 - h.x1) < 30""", "doc_id long, tail_pos long, head_pos long")
