@@ -397,10 +397,10 @@ def fidelity_recall(spark, sf_dir):
     return x.select("doc_id", F.round(evaluation.recall(F.col("b"), F.col("a")), 6).alias("text_recall"))
 
 
-def _deviation(spark, sf_dir):
+def _deviation(spark, sf_dir, of):
     x = T.line_blocks(spark, sf_dir)
     pages = x.groupBy("doc_id", "page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "\n").alias("text"))
-    found = evaluation.anchor_pages(x.where("pos % 40 = 0").select("doc_id", "pos", "text", F.col("page_id").alias("expected_page")), pages)
+    found = evaluation.anchor_pages(x.where(of).select("doc_id", "pos", "text", F.col("page_id").alias("expected_page")), pages)
     return evaluation.page_deviation(found)
 
 
@@ -411,7 +411,13 @@ b AS (SELECT doc_id, coalesce(least(abs(expected - found), 5), 5) AS bucket FROM
 SELECT doc_id, {', '.join(f'count(*) FILTER (bucket = {i}) AS off_{i}' for i in range(6))}, round(count(*) FILTER (bucket <= 1) / count(*), 6)::DOUBLE AS deviation_ratio FROM b GROUP BY doc_id""",
        "doc_id long, " + ", ".join(f"off_{i} long" for i in range(6)) + ", deviation_ratio double")
 def page_deviation(spark, sf_dir):
-    return _deviation(spark, sf_dir).withColumn("deviation_ratio", F.round("deviation_ratio", 6))
+    return _deviation(spark, sf_dir, F.expr("pos % 40 = 0")).withColumn("deviation_ratio", F.round("deviation_ratio", 6))
+
+
+@query(schema="doc_id long, " + ", ".join(f"off_{i} long" for i in range(6)) + ", deviation_ratio double")
+def page_deviation_whole(spark, sf_dir):
+    """Every line that isn't empty, rather than the first of each page."""
+    return _deviation(spark, sf_dir, text.strip(text.text_of("text")) != "").withColumn("deviation_ratio", F.round("deviation_ratio", 6))
 
 
 def _fidelity(spark, sf_dir):

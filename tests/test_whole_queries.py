@@ -19,3 +19,17 @@ def test_whole_lines_across_pages(spark, tmp_path):
     texts = [f"a\nb\nc\n{long} {shared}\n{other} {shared}", f"a\nb\nc\n{shared}.\n{shared}", f"a\nb\nc\n{shared[:60]} {long}\n{shared[:60]} {other} {other.upper()}x", None]
     got = QUERIES["cross_page_paragraphs_whole"](spark, documents(spark, tmp_path, texts)).collect()
     assert [tuple(r) for r in got] == [(0, 3, 4)]
+
+
+def test_every_paragraph_has_a_page(spark, tmp_path):
+    lines = [f"line {i % 50:03d} of it" for i in range(130)]
+    lines[7] = lines[60] = " "
+    got = QUERIES["page_deviation_whole"](spark, documents(spark, tmp_path, ["\n".join(lines)])).first()
+    off = [0] * 6
+    for i, x in enumerate(lines):
+        if x.strip():
+            anchor = x[:10].strip()
+            found = min(j // 40 for j, y in enumerate(lines) if anchor in y)
+            off[min(abs(i // 40 - found), 5)] += 1
+    assert [got[f"off_{i}"] for i in range(6)] == off and sum(off) == 128
+    assert abs(got["deviation_ratio"] - (off[0] + off[1]) / 128) < 1e-6
