@@ -273,14 +273,14 @@ def text_align_exact(spark, sf_dir):
 
 
 def _fuzzy(spark, sf_dir):
-    x = T.page_elements(spark, sf_dir).where(F.col("tag").isin("title", "h1", "b"))
+    x = T.page_elements(spark, sf_dir)
     spans = x.where("pos % 4 <> 0").withColumn("object_id", F.col("block_id")).withColumn("text", F.translate("text", "e", "a"))
     return verify.align(x, spans)
 
 
 @query(schema="doc_id long, block_id string, object_id string, similarity double, overlap boolean, level string, confidence double")
 def text_align_fuzzy(spark, sf_dir):
-    """Headings of the web pages against a garbled copy of them."""
+    """All elements of the web pages against a garbled copy of them."""
     return _fuzzy(spark, sf_dir)
 
 

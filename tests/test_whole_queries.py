@@ -33,3 +33,11 @@ def test_every_paragraph_has_a_page(spark, tmp_path):
             off[min(abs(i // 40 - found), 5)] += 1
     assert [got[f"off_{i}"] for i in range(6)] == off and sum(off) == 128
     assert abs(got["deviation_ratio"] - (off[0] + off[1]) / 128) < 1e-6
+
+
+def test_every_element_is_aligned(spark):
+    sf = "/root/testdata/sf0.001"
+    said = tables.page_elements(spark, sf).where(text.text_of("text") != "").select("doc_id", "block_id").collect()
+    got = QUERIES["text_align_fuzzy"](spark, sf).select("doc_id", "block_id").collect()
+    assert sorted(got) == sorted(said)
+    assert QUERIES["align_level_counts"](spark, sf).groupBy().sum("total").first()[0] == len(said)
