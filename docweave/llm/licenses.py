@@ -3,7 +3,9 @@
 A text is split into sentences, each normalised to lower-case words; known
 license sentences become identifiers, and a document's sequence of identifiers
 is matched against rules that name the identifiers of a license in order.
-Other known sentences may come between.
+Other known sentences may come between. A line ends a sentence or not: a known
+sentence may start and end with any line and be wrapped over several, but not go
+on over a blank line.
 
 Edge cases: null and empty texts have no sentences; a sentence counts as often
 as it occurs, wherever in the text; null doc_ids and repeated rows pass
@@ -56,6 +58,9 @@ RULES = [
     ("MIT-text", False, ["mit-grant", "mit-notice"]),
     ("Proprietary", True, ["reserved"]),
 ]
+#: Normalised texts have lower-case words only: B stands where a sentence ends, L where just a line does.
+BREAK, LINE = "B", "L"
+KNOWN = f"(?<=[{BREAK}{LINE}])(?:" + "|".join(k.replace(" ", f"[ {LINE}]") for k in sorted(SENTENCES, key=len, reverse=True)) + f")(?=[{BREAK}{LINE}])"
 #: Every known sentence holds one of these, so other texts and sentences need no work.
 HINT = "(?i)licen[sc]e|reserved|hereby granted|redistribut|copyright"
 assert all(re.search(HINT, s) for s in SENTENCES)
@@ -70,8 +75,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, n_sentences, licenses and restricted of every row of ``docs`` (doc_id, text)."""
     known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    likely = F.filter(F.split(text, SPLIT), lambda s: s.rlike(HINT))
-    ids = F.transform(likely, lambda s: F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
+    plain = F.regexp_replace(F.lower(text), r"[.!?;]+[ \t\r\n]+|\n(?:[^\p{L}\p{N}\n]*\n)+", BREAK)
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\n", LINE), f"[^a-z0-9{BREAK}{LINE}]+", " ")
+    plain = F.concat(F.lit(BREAK), F.regexp_replace(F.trim(plain), f" ?([{BREAK}{LINE}]) ?", "$1"), F.lit(BREAK))
+    ids = F.transform(F.regexp_extract_all(plain, F.lit(KNOWN), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, LINE, " ")))
     ids = F.when(text.rlike(HINT), F.array_compact(ids)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ids.alias("ids"))
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", "|").alias("sentence_ids"))
