@@ -1,9 +1,9 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. A word that is not
-plain letters, repeats a letter three times or is spelled with spaces goes
-through a lattice of what each character may stand for (itself, look-alikes,
-nothing, a repetition) whose cheapest path under the model is found by Viterbi
+plain letters or repeats a letter, and a run of characters with white space
+between, goes through a lattice of what each character may stand for (itself,
+look-alikes, nothing, a repetition; a gap nothing or a boundary) whose cheapest path under the model is found by Viterbi
 search. The restored words' features, weighted by a logistic regression that is
 fitted on a bounded sample of labelled rows, give the score.
 
@@ -44,8 +44,12 @@ LOOKS = {
 }
 #: Costs (in nats) of a look-alike, of a sign that stands for nothing (by whether it looks like a letter), and of a repetition.
 LOOK_COST, DROP_COST, DROP_LOOK_COST, REPEAT_COST = 0.7, 1.5, 9.0, 0.7
+#: Cost of reading on over a gap of a spaced run that is wider than its narrowest.
+WIDE_COST = 3.0
 PIECES = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+DOUBLE = re.compile(r"(.)\1")
 TRIPLE = re.compile(r"(.)\1\1")
 EDGES = ".,;:?!'\"()[]{}<>-_%#&/\\"
 
@@ -109,9 +113,20 @@ class Channel:
                 self.choices[c] = [*((x, kind(x), LOOK_COST) for x in LOOKS.get(c, "")), ("", 0, DROP_LOOK_COST if c in LOOKS else DROP_COST)]
         return self.choices[c]
 
-    def restore(self, word: str) -> str:
+    def restore(self, word: str, gaps: list[int] | None = None) -> str:
+        """What a word stands for; with ``gaps`` (white space before each character) a run of spaced characters, as words."""
+        narrow = min(gaps[1:]) if gaps else 0
         paths: dict[tuple, tuple] = {(0, 0, ""): (0.0, None)}
-        for c in word:
+        for i, c in enumerate(word):
+            if gaps and i:
+                # A gap is a boundary or nothing.
+                on = WIDE_COST if gaps[i] > narrow else 0.0
+                both = {state: (cost + on, tail) for state, (cost, tail) in paths.items()}
+                for (a, b, _), (cost, tail) in paths.items():
+                    total = cost + self.cost[a][b][0]
+                    if b and ((b, 0, "") not in both or total < both[b, 0, ""][0]):
+                        both[b, 0, ""] = (total, (" ", tail))
+                paths = both
             ahead: dict[tuple, tuple] = {}
             for (a, b, last), (cost, tail) in paths.items():
                 for letter, k, own in self.options(c):
@@ -125,7 +140,7 @@ class Channel:
                         if state not in ahead or total < ahead[state][0]:
                             ahead[state] = (total, path)
             paths = ahead
-        _, tail = min(((cost + self.cost[a][b][0], tail) for (a, b, _), (cost, tail) in paths.items()), key=lambda x: x[0])
+        _, tail = min(((cost + (self.cost[a][b][0] if b or not a else 0.0), tail) for (a, b, _), (cost, tail) in paths.items()), key=lambda x: x[0])
         out = []
         while tail:
             out.append(tail[0])
@@ -143,7 +158,7 @@ class Reader:
         """The plain words that a word holds or stands for."""
         plain = word.lower().strip(EDGES)
         if plain.isalpha() and not TRIPLE.search(plain):
-            return [plain]
+            return [plain, self.channel.restore(plain)] if DOUBLE.search(plain) else [plain]
         plain = re.sub(r"([^\w])\1\1+$", "", plain)
         if not plain:
             return []
@@ -160,6 +175,17 @@ class Reader:
         """Words spelled letter by letter."""
         return [self.channel.restore(m.replace(" ", "").lower()) for m in SPACED.findall(text)]
 
+    def segmented(self, text: str) -> list[str]:
+        """The words that runs of spaced characters stand for."""
+        found = []
+        for run in RUN.findall(text):
+            gaps = [0, *map(len, re.findall(r"\s+", run))]
+            found += self.channel.restore("".join(c.lower()[0] for c in run.split()), gaps).split()
+        return found
+
+    def of_runs(self, text: str) -> set[str]:
+        return {f for plain in (*self.spaced(text), *self.segmented(text)) for f in self.features(plain)}
+
 
 def fit(row: np.ndarray, feature: np.ndarray, n_features: int, label: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features given as (row, feature) pairs: weights and intercept."""
@@ -190,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray) -> tuple[dict[st
         reader = Reader(cost)
         for batch in batches:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                found = set().union(*map(reader.of_word, set((text or "").encode().split())), *(reader.features(w) for w in reader.spaced(text or "")))
+                found = set().union(*map(reader.of_word, set((text or "").encode().split())), reader.of_runs(text or ""))
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([toxic], pa.int32()), pa.array([sorted(found)], pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
 
     read_rows = stored(rows.mapInArrow(run, "doc_id long, toxic int, features array<string>"), "labelled")
@@ -243,8 +269,7 @@ def _scored(docs: DataFrame, labels: DataFrame, extra: tuple) -> DataFrame:
                         got = of(word)
                     if got:
                         found.update(got)
-                for word in reader.spaced(text):
-                    found.update(number[f] for f in reader.features(word) if f in number)
+                found.update(number[f] for f in reader.of_runs(text) if f in number)
                 total = bias + float(values[sorted(found)].sum() if found else 0.0)
                 scores.append(1 / (1 + np.exp(-max(min(total, 50.0), -50.0))) if bias > float("-inf") else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(scores, pa.float64())], names=[*(f.name for f in out), "score"])
