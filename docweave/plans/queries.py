@@ -256,6 +256,13 @@ def critical_fields(spark, sf_dir):
     return hits.where(F.col("kind").isin(*FIELD_SQL)).unionByName(runs.select("doc_id", F.lit("digits").alias("kind"), F.col("n").cast("string").alias("value")))
 
 
+@query(schema="doc_id long, kind string, value string")
+def critical_fields_whole(spark, sf_dir):
+    """The fields of all six kinds."""
+    x = T.read(spark, sf_dir, "documents")
+    return x.select("doc_id", F.explode(text.critical_fields(F.col("text"))).alias("f")).select("doc_id", "f.*")
+
+
 @query(schema="doc_id long, kind string, value string, left_value string, right_value string, source string, resolution string")
 def critical_field_conflicts(spark, sf_dir):
     """Fields of the documents against a copy in which nines became eights."""

@@ -41,3 +41,10 @@ def test_every_element_is_aligned(spark):
     got = QUERIES["text_align_fuzzy"](spark, sf).select("doc_id", "block_id").collect()
     assert sorted(got) == sorted(said)
     assert QUERIES["align_level_counts"](spark, sf).groupBy().sum("total").first()[0] == len(said)
+
+
+def test_all_kinds_of_fields(spark, tmp_path):
+    texts = ["Paid USD 1,200.50 on 2024-05-06, No.AB1234, a.b@c.de", "13812345678 and 11010519900307123X", "合同号：HT-2024-01 12月", None, ""]
+    got = QUERIES["critical_fields_whole"](spark, documents(spark, tmp_path, texts)).collect()
+    wanted = [(i, k, m.group(0).strip()) for i, t in enumerate(texts) for k, p in text.FIELDS.items() for m in re.finditer(p, t or "")]
+    assert sorted(map(tuple, got)) == sorted(wanted) and {k for _, k, _ in wanted} == set(text.FIELDS)
