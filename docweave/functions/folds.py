@@ -6,25 +6,46 @@ those of many others: a call for each document would cost more than its work.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+# Executors need not have this package on their path: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
-def fold_documents(rows: DataFrame, columns: list[str], fold: Callable[[list[dict]], Iterable[tuple]], schema: str, key: str = "doc_id") -> DataFrame:
-    """``key`` and the columns of ``schema``: what ``fold`` returns for the list of each document's rows, which come in no order."""
-    lists = rows.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    out = StructType([StructField(key, rows.schema[key].dataType), *_parse_datatype_string(schema).fields])
+
+def fold_documents(rows: DataFrame, columns: list[str], fold: Callable[[list[dict]], Iterable[tuple]], schema: str, *key: str) -> DataFrame:
+    """``key`` (doc_id unless stated) and the columns of ``schema``: what ``fold`` returns for the list of each key's rows, which come in no order."""
+    key = key or ("doc_id",)
+    lists = rows.groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    out = StructType([*(StructField(k, rows.schema[k].dataType) for k in key), *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(out)
 
     def run(batches):
         for batch in batches:
-            found = [(k, *row) for k, rows_ in zip(batch.column(key).to_pylist(), batch.column("rows").to_pylist(), strict=True) for row in fold(rows_)]
+            keys = zip(*(batch.column(k).to_pylist() for k in key), strict=True)
+            found = [(*own, *row) for own, rows_ in zip(keys, batch.column("rows").to_pylist(), strict=True) for row in fold(rows_)]
             columns_ = list(zip(*found, strict=True)) if found else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns_, arrow, strict=True)], schema=arrow)
 
     return lists.mapInArrow(run, out)
+
+
+def unfold(rows: DataFrame, column: str, read: Callable[[object], Iterable[tuple]], schema: str, key: str = "doc_id") -> DataFrame:
+    """``key`` and the columns of ``schema``: the rows that ``read`` makes of each value of ``column``."""
+    out = StructType([StructField(key, rows.schema[key].dataType), *_parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            found = [(k, *row) for k, value in zip(batch.column(key).to_pylist(), batch.column(column).to_pylist(), strict=True) for row in read(value)]
+            columns_ = list(zip(*found, strict=True)) if found else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns_, arrow, strict=True)], schema=arrow)
+
+    return rows.select(key, column).mapInArrow(run, out)

@@ -1,7 +1,7 @@
 """Questions to a language model: prompts, calls with a budget and retries, checked answers.
 
-A provider is any object with ``chat(system_prompt, user_prompt, temperature,
-max_tokens)`` and ``version()``; it travels to the executors. Calls of a
+A provider is a ``LanguageProvider``, or any object with its methods; it travels
+to the executors. Calls of a
 document run in order, since they share its budget.
 """
 
@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import AnswerError, CallError
 from ..functions.folds import fold_documents
+from ..sources.providers import LanguageProvider
 
 BUDGET, RETRIES = 20, 2
 # ---- Fixed values: prompts and the shapes of answers. ----
@@ -43,14 +45,6 @@ SCHEMAS = {
 # ---- End of fixed values. ----
 
 
-class CallError(Exception):
-    """A call that failed after all attempts."""
-
-
-class AnswerError(CallError):
-    """An answer that is not the JSON asked for."""
-
-
 def plain_answer(answer: str) -> str:
     inside = re.match(r"^```(?:json)?\s*\n?(.*?)\n?```\s*$", answer.strip(), re.DOTALL)
     return (inside[1] if inside else answer).strip()
@@ -71,15 +65,15 @@ def checked(answer: str, schema: dict | None):
     try:
         data = json.loads(plain_answer(answer))
     except ValueError as e:
-        raise AnswerError(f"JSON解析失败: {e}; raw={answer[:200]!r}") from e
+        raise AnswerError(f"not JSON ({e})", answer=answer) from e
     if schema is None:
         return data
     items = data if schema["type"] == "array" else [data]
     if not isinstance(items, list):
-        raise AnswerError("Schema校验失败: not an array")
+        raise AnswerError("a list was asked for", answer=answer)
     for item in items:
         if not isinstance(item, dict) or set(item) != set(schema["fields"]) or not all(_fits(item[k], kind) for k, kind in schema["fields"].items()):
-            raise AnswerError(f"Schema校验失败: {item!r}"[:300])
+            raise AnswerError("other fields or values than asked for", answer=answer)
     return data
 
 
@@ -93,8 +87,8 @@ class Client:
 
     def call(self, task: str, system: str, user: str, schema: dict | None, temperature: float, max_tokens: int, retries: int = RETRIES):
         if self.used >= self.budget:
-            raise CallError(f"LLM调用预算已用尽: {self.used}/{self.budget}")
-        error: Exception = CallError(task)
+            raise CallError(f"all {self.budget} calls are used", task=task, attempts=0)
+        error: Exception = CallError("no attempt", task=task, attempts=0)
         for attempt in range(1, retries + 2):
             try:
                 data = checked(self.provider.chat(system_prompt=system, user_prompt=user, temperature=temperature, max_tokens=max_tokens), schema)
@@ -103,13 +97,15 @@ class Client:
             except AnswerError as e:
                 error = e
             except Exception as e:  # whatever a provider raises is an attempt that failed
-                error = CallError(str(e))
+                error = CallError(str(e), task=task, attempts=attempt)
         raise error
 
 
-class EmptyProvider:
+class EmptyProvider(LanguageProvider):
     """Answers every question with an empty object."""
 
+    name = "mock"
+
     def chat(self, **_) -> str:
         return "{}"
 

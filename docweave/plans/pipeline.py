@@ -56,9 +56,16 @@ def run(blocks: DataFrame, objects: DataFrame, partitions: int | None = None) ->
 
 
 def write(result: Result, path: str) -> None:
-    """Trees as JSON lines, files, alignment and conflicts under ``path``."""
-    render.tree_json(result.nodes).write.mode("overwrite").json(f"{path}/trees")
-    render.render(result.nodes).write.mode("overwrite").parquet(f"{path}/files")
-    result.headers.write.mode("overwrite").json(f"{path}/headers")
-    result.alignment.write.mode("overwrite").parquet(f"{path}/alignment")
+    """Nodes, alignment and conflicts under ``path``, and from the stored nodes trees as JSON lines, files and headers."""
+    spark = result.nodes.sparkSession
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    nodes = table(result.nodes, "nodes")
+    render.tree_json(nodes).write.mode("overwrite").json(f"{path}/trees")
+    render.render(nodes).write.mode("overwrite").parquet(f"{path}/files")
+    tree.document_headers(nodes).write.mode("overwrite").json(f"{path}/headers")
+    verify.level_counts(table(result.alignment, "alignment")).write.mode("overwrite").json(f"{path}/alignment_counts")
     result.conflicts.write.mode("overwrite").json(f"{path}/conflicts")

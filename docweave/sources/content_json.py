@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, text
+from ..functions.folds import unfold
 
 # ---- Fixed values: type names of the provider's files. ----
 TITLES = ("title", "heading", "head")
@@ -21,7 +22,7 @@ V2_NAMES = {
 }
 # ---- End of fixed values. ----
 TABLE_TEXT = 200
-BLOCK = "page_id int, item int, raw_type string, level string, text string, bbox array<double>, score double"
+BLOCK = "page_id int, item int, raw_type string, level string, text string, bbox array<double>, score double, error string"
 TITLE_SIZE, TITLE_LENGTH = 13.5, 80
 
 
@@ -60,66 +61,85 @@ def _text_of_item(content, raw_type: str) -> str:
     return " ".join(found).strip()
 
 
-def _box(value) -> list[float] | None:
-    value = value or [0, 0, 0, 0]
-    return [float(v) for v in value] if isinstance(value, list) and len(value) == 4 else None
-
-
 def _number(value, default):
     try:
         return float(value)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return default
 
 
-def parse_v2(data) -> list[tuple]:
+def _item(page, i: int, raw, level, said, box, score) -> tuple | None:
+    """A row of BLOCK without its error, or None if the item has no box of four numbers or no page."""
+    box = [_number(v, None) for v in box or [0, 0, 0, 0]] if isinstance(box, list | None) else []
+    page = _number(page, None)
+    if len(box) != 4 or None in box or page is None or not -(1 << 31) < page < 1 << 31:
+        return None
+    return int(page), i, str(raw or "text"), None if level is None else str(level), said, box, score
+
+
+def _string(value) -> str:
+    return value.strip() if isinstance(value, str) else "" if value is None or isinstance(value, dict | list) else str(value)
+
+
+def _items(value) -> list[tuple[int, dict]]:
+    """The objects of a list, with their places; what else it holds is skipped."""
+    return [(i, x) for i, x in enumerate(value if isinstance(value, list) else []) if isinstance(x, dict)]
+
+
+def parse_v2(data) -> list[tuple | None]:
     rows = []
     for page, items in enumerate(data if isinstance(data, list) else []):
-        for i, item in enumerate(items if isinstance(items, list) else []):
-            if isinstance(item, dict) and (box := _box(item.get("bbox"))) is not None:
-                raw, content = str(item.get("type") or "text"), item.get("content") or {}
-                level = content.get("level") if isinstance(content, dict) else None
-                rows.append((page + 1, i, raw, None if level is None else str(level), _text_of_item(content, raw), box, 0.9))
+        for i, item in _items(items):
+            raw, content = str(item.get("type") or "text"), item.get("content") or {}
+            rows.append(_item(page + 1, i, raw, content.get("level") if isinstance(content, dict) else None, _text_of_item(content, raw), item.get("bbox"), 0.9))
     return rows
 
 
-def parse_v1(data) -> list[tuple]:
-    rows = []
-    for i, item in enumerate(data if isinstance(data, list) else []):
-        if isinstance(item, dict) and (box := _box(item.get("bbox"))) is not None:
-            rows.append((int(item.get("page_idx") or 0) + 1, i, str(item.get("type") or "text"), None, (item.get("text") or "").strip(), box, 0.9))
-    return rows
+def parse_v1(data) -> list[tuple | None]:
+    return [_item(_number(item.get("page_idx") or 0, float("nan")) + 1, i, item.get("type"), None, _string(item.get("text")), item.get("bbox"), 0.9) for i, item in _items(data)]
 
 
-def parse_layout(data) -> list[tuple]:
+def parse_layout(data) -> list[tuple | None]:
     rows = []
     for key, value in data.items() if isinstance(data, dict) else ():
         number = key.removeprefix("page_")
         if number == key or not number.lstrip("-").isdigit() or not isinstance(value, dict):
             continue
-        for i, b in enumerate(value.get("blocks") or value.get("para_blocks") or []):
-            if (box := _box(b.get("bbox"))) is not None:
-                said = (b.get("text") or b.get("content") or "").strip()
-                rows.append((int(number) + 1, i, str(b.get("type") or b.get("block_type") or "text"), None, said, box, _number(b.get("score", 0.85), 0.85)))
+        for i, b in _items(value.get("blocks") or value.get("para_blocks")):
+            rows.append(_item(int(number) + 1, i, b.get("type") or b.get("block_type"), None, _string(b.get("text") or b.get("content")), b.get("bbox"), _number(b.get("score", 0.85), 0.85)))
     return rows
 
 
 PARSERS = {"v2": parse_v2, "v1": parse_v1, "layout": parse_layout}
 
 
+def _parsed(files: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, content) as rows of BLOCK; what can't be read is a row with an error."""
+
+    def read(content: str):
+        try:
+            data = json.loads(content or "")
+        except (ValueError, RecursionError) as e:
+            yield *(None,) * 7, f"not JSON: {e}"
+            return
+        rows = PARSERS[kind](data)
+        yield from ((*row, None) for row in rows if row is not None)
+        if skipped := rows.count(None):
+            yield *(None,) * 7, f"{skipped} items without a page or a box of four numbers"
+        elif not isinstance(data, dict if kind == "layout" else list):
+            yield *(None,) * 7, f"not the shape of {kind}"
+
+    return unfold(files, "content", read, BLOCK)
+
+
+def file_errors(files: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, error) of what can't be read in files (doc_id, content) of a kind: v2, v1 or layout."""
+    return _parsed(files, kind).where("error IS NOT NULL").select("doc_id", "error")
+
+
 def _read(files: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, content) as blocks; files that are not JSON give none."""
-
-    @F.udtf(returnType=BLOCK)
-    class Items:
-        def eval(self, content: str):
-            try:
-                data = json.loads(content or "")
-            except ValueError:
-                return
-            yield from PARSERS[kind](data)
-
-    rows = files.lateralJoin(Items(F.col("content").outer())).select("doc_id", "page_id", "item", "raw_type", "level", "text", "bbox", "score")
+    """(doc_id, content) as blocks; files that are not JSON give none, nor do items without a box."""
+    rows = _parsed(files, kind).where("error IS NULL")
     block = provider_type(F.col("raw_type"))
     level = F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(F.col("level").try_cast("int"), F.lit(1))))
     said = F.when((block == "table") & F.lit(kind != "layout"), F.substring("text", 1, TABLE_TEXT)).otherwise(F.col("text"))
@@ -238,3 +258,55 @@ def latest_annotations(edits: DataFrame) -> DataFrame:
     """Of the edits (doc_id, block_id, at, ...) of each block the last, with an id and a sort key."""
     x = edits.groupBy("doc_id", "block_id").agg(F.max_by(F.struct(*edits.columns), "at").alias("r")).select("r.*")
     return x.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), "block_id") if "id" in edits.columns else F.col("block_id")).withColumn("sort_key", F.coalesce("sort_key", F.lit(0)) if "sort_key" in edits.columns else F.lit(0))
+
+
+def annotation_files(blocks: DataFrame, edits: DataFrame, dirt_level: str = "medium", reviewer: str = "") -> DataFrame:
+    """One annotation object a document: each block with its latest edit.
+
+    ``edits`` has doc_id, block_id, at (its time) and any of type, global_level,
+    parent_id, sort_key, text and deleted; a field that is null leaves the
+    block's own, and a block that was last deleted goes. Edits of blocks that
+    the document lacks add some.
+    """
+    last = edits
+    for name, kind in (("type", "string"), ("global_level", "int"), ("parent_id", "string"), ("sort_key", "int"), ("text", "string"), ("deleted", "boolean")):
+        last = last if name in last.columns else last.withColumn(name, F.lit(None).cast(kind))
+    last = last.groupBy("doc_id", "block_id").agg(F.max_by(F.struct("type", "global_level", "parent_id", "sort_key", "text", "deleted"), "at").alias("e"))
+    own = blocks.select("doc_id", "block_id", F.when(F.col("block_type") == "title", "heading").otherwise(F.col("block_type")).alias("type"), "page_id", "pos", "local_level", F.col("text").alias("said"))
+    x = own.join(last, ["doc_id", "block_id"], "full").where("NOT coalesce(e.deleted, false)")
+    order = F.coalesce("e.sort_key", F.col("pos").cast("int"), F.lit(1 << 30))
+    one = F.struct(
+        order.alias("sort_key"), F.col("block_id").alias("id"), F.coalesce("e.type", "type", F.lit("paragraph")).alias("type"), F.col("page_id").alias("page"),
+        F.coalesce("e.global_level", "local_level").alias("global_level"), F.nullif("e.parent_id", F.lit("")).alias("parent_id"), F.coalesce("e.text", "said", F.lit("")).alias("text"),
+    )
+    meta = F.struct(F.lit(reviewer).alias("reviewer"), F.lit("").alias("notes")).alias("review_metadata")
+    return x.groupBy(F.col("doc_id").alias("document_id")).agg(F.sort_array(F.collect_list(one)).alias("annotations")).select("document_id", F.lit(dirt_level).alias("dirt_level"), "annotations", meta)
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes each image (content) of ``image_objects``' inputs once, named as they are, into a folder that all executors share; (doc_id, image_ref, path, n_bytes, error).
+
+    The result must be used for the files to be written.
+    """
+    from ..functions.folds import unfold
+
+    place = folder.removeprefix("file://")
+    if "://" in place:
+        raise ValueError("images are written to mounted folders only")
+    named = image_objects(images).select("doc_id", "image_ref", "page_id", "xref").distinct()
+    x = images.select("doc_id", "page_id", "xref", "content").dropDuplicates(["doc_id", "page_id", "xref"]).join(named, ["doc_id", "page_id", "xref"])
+
+    def write(row: dict):
+        import os
+
+        path = os.path.join(place, str(row["doc_id"]), row["image_ref"] + ".bin")
+        try:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(f"{path}.part", "wb") as f:
+                f.write(row["content"])
+            os.replace(f"{path}.part", path)
+            yield row["image_ref"], path, len(row["content"]), None
+        except OSError as e:
+            yield row["image_ref"], path, 0, str(e)
+
+    return unfold(x.select("doc_id", F.struct("doc_id", "image_ref", "content").alias("row")), "row", write, "image_ref string, path string, n_bytes bigint, error string")
