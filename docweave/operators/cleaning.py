@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import unfold
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # ---- Fixed values: names in the file format. ----
 MAIN = "word/document.xml"
@@ -72,34 +74,30 @@ class Package:
         return out.getvalue()
 
 
-def _drop(parent: ET.Element, child: ET.Element, instead: tuple = ()) -> None:
-    """Replace a child; the text after it stays."""
-    at = list(parent).index(child)
-    parent.remove(child)
-    for i, x in enumerate(instead):
-        parent.insert(at + i, x)
-    if child.tail:
-        before = instead[-1] if instead else (parent[at - 1] if at else None)
-        if before is None:
+def _rebuild(parent: ET.Element, instead: Callable[[ET.Element], tuple | None]) -> int:
+    """Replace the children for which ``instead`` returns others, in one pass; the text after them stays."""
+    kept: list[ET.Element] = []
+    n = 0
+    for child in parent:
+        new = instead(child)
+        if new is None:
+            kept.append(child)
+            continue
+        n += 1
+        kept += new
+        if child.tail and kept:
+            kept[-1].tail = (kept[-1].tail or "") + child.tail
+        elif child.tail:
             parent.text = (parent.text or "") + child.tail
-        else:
-            before.tail = (before.tail or "") + child.tail
+    if n:
+        parent[:] = kept
+    return n
 
 
 def _each(root: ET.Element, tags: tuple, instead: Callable[[ET.Element], tuple]) -> int:
     """Replace every element with one of the tags, inner ones first."""
-    names, n = {W + t for t in tags}, 0
-
-    def visit(x: ET.Element) -> None:
-        nonlocal n
-        for child in list(x):
-            visit(child)
-            if child.tag in names:
-                _drop(x, child, instead(child))
-                n += 1
-
-    visit(root)
-    return n
+    names = {W + t for t in tags}
+    return sum(_rebuild(x, lambda c: instead(c) if c.tag in names else None) for x in reversed(list(root.iter())))
 
 
 def accept_revisions(p: Package) -> int:
@@ -113,12 +111,9 @@ def accept_revisions(p: Package) -> int:
 
 def _runs_with(p: Package, *marks: str) -> int:
     n = 0
+    marked = lambda x: x.tag == W + "r" and (rpr := x.find(W + "rPr")) is not None and any(rpr.find(W + m) is not None for m in marks)
     for part in p.text_parts():
-        root = p.tree(part)
-        for parent in list(root.iter()):
-            for run in [c for c in parent if c.tag == W + "r" and (rpr := c.find(W + "rPr")) is not None and any(rpr.find(W + m) is not None for m in marks)]:
-                _drop(parent, run)
-                n += 1
+        n += sum(_rebuild(x, lambda c: () if marked(c) else None) for x in list(p.tree(part).iter()))
     return n
 
 
@@ -138,36 +133,53 @@ def strip_comments(p: Package) -> int:
     return n
 
 
+class _Field:
+    """A field that is open: the runs before its separator, which go if it is closed after one."""
+
+    def __init__(self):
+        self.before: list[ET.Element] = []
+        self.result = False
+
+
+def _field_runs(root: ET.Element) -> tuple[set[ET.Element], int]:
+    """The runs that are not part of a complex field's result, and how many fields that are results or stand in none have one."""
+    gone: set[ET.Element] = set()
+    fields = 0
+    open_fields: list[_Field] = []
+    for run in root.iter(W + "r"):
+        mark = run.find(W + "fldChar")
+        kind = mark.get(W + "fldCharType") if mark is not None else None
+        closed = None
+        if kind == "begin":
+            open_fields.append(_Field())
+        elif kind == "separate" and open_fields:
+            open_fields[-1].result = True
+        elif kind == "end" and open_fields:
+            closed = open_fields.pop()
+        for field in open_fields:
+            if not field.result:
+                field.before.append(run)
+        if closed is not None and closed.result:
+            gone.update(closed.before, [run])
+            fields += all(field.result for field in open_fields)
+    return gone, fields
+
+
 def freeze_fields(p: Package) -> int:
-    """Fields become their results: simple ones are unwrapped; of complex ones what is before the separator and the end go."""
+    """Fields become their results: simple ones are unwrapped; of complex ones what is before the separator and the end go.
+
+    Each separator and end belong to the field that was opened last, so a field
+    in another's result is frozen by itself and the outer result stays whole.
+    """
     n = 0
     for part in p.text_parts():
         root = p.tree(part)
         n += _each(root, ("fldSimple",), tuple)
-        parents = {c: x for x in root.iter() for c in x}
-        runs = list(root.iter(W + "r"))
-        kinds = [(f.get(W + "fldCharType") if (f := r.find(W + "fldChar")) is not None else None) for r in runs]
-        i = 0
-        while i < len(runs):
-            if kinds[i] != "begin":
-                i += 1
-                continue
-            depth, separate, j = 1, None, i + 1
-            while j < len(runs) and depth:
-                if kinds[j] == "begin":
-                    depth += 1
-                elif kinds[j] == "separate":
-                    separate = j
-                elif kinds[j] == "end":
-                    depth -= 1
-                j += 1
-            if depth or separate is None:
-                i += 1
-                continue
-            for run in [*runs[i:separate], runs[j - 1]]:
-                _drop(parents[run], run)
-            n += 1
-            i = j
+        gone, fields = _field_runs(root)
+        if gone:
+            for x in list(root.iter()):
+                _rebuild(x, lambda c: () if c in gone else None)
+        n += fields
     return n
 
 
@@ -185,16 +197,22 @@ RULES: list[tuple[str, Callable[[Package], int]]] = [
 
 
 def clean_bytes(content: bytes, rules=RULES) -> tuple[bytes, dict[str, int]]:
-    """The cleaned file and each rule's changes; a rule that fails counts none and leaves the file as it was."""
-    counts = {}
+    """The cleaned file and each rule's changes; a rule that fails counts none and leaves the file as it was.
+
+    The file is opened and written once. Only after a failure is it opened
+    again, and the rules that succeeded are repeated.
+    """
+    p, counts, done = Package(content), {}, []
     for name, rule in rules:
-        p = Package(content)
         try:
             counts[name] = rule(p)
-            content = p.write() if counts[name] or p.trees else content
+            done.append(rule)
         except Exception:  # one rule's failure must not lose the others' work
             counts[name] = 0
-    return content, counts
+            p = Package(content)
+            for again in done:
+                again(p)
+    return (p.write() if any(counts.values()) else content), counts
 
 
 def clean(files: DataFrame, rules=RULES) -> DataFrame:
@@ -223,14 +241,11 @@ def changes_by_rule(cleaned: DataFrame) -> DataFrame:
 def document_parts(files: DataFrame) -> DataFrame:
     """(doc_id, part, xml) of the text-bearing parts of DOCX files (doc_id, content)."""
 
-    @F.udtf(returnType="part string, xml string")
-    class Parts:
-        def eval(self, content: bytes):
-            p = Package(bytes(content))
-            for name in p.text_parts():
-                yield name, p.parts[name].decode()
+    def read(content: bytes):
+        p = Package(bytes(content))
+        return [(name, p.parts[name].decode()) for name in p.text_parts()]
 
-    return files.lateralJoin(Parts(F.col("content").outer())).select("doc_id", "part", "xml")
+    return unfold(files, "content", read, "part string, xml string")
 
 
 def body_items(content: bytes) -> list[tuple]:
@@ -258,9 +273,4 @@ def body_items(content: bytes) -> list[tuple]:
 def extracted_annotations(files: DataFrame) -> DataFrame:
     """Ground truth from DOCX files (doc_id, content): every paragraph, heading and table in order."""
 
-    @F.udtf(returnType="pos int, type string, text string, global_level int, parent int, cell_matrix array<array<string>>")
-    class Items:
-        def eval(self, content: bytes):
-            yield from body_items(bytes(content))
-
-    return files.lateralJoin(Items(F.col("content").outer()))
+    return unfold(files, "content", lambda content: body_items(bytes(content)), "pos int, type string, text string, global_level int, parent int, cell_matrix array<array<string>>")
