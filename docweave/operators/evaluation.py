@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.folds import fold_documents
 
 # ---- Fixed values: thresholds that verdicts depend on. ----
 BADCASES = {
@@ -47,23 +49,38 @@ def pair_f1(predicted: DataFrame, truth: DataFrame, *key: str, name: str = "f1")
     return sums.select("doc_id", F.when(F.col("np") > 0, F.col("tp") / F.col("np")).otherwise(0.0).alias("precision"), F.when(F.col("nt") > 0, F.col("tp") / F.col("nt")).otherwise(0.0).alias("recall"), f1(F.col("tp"), F.col("np"), F.col("nt")).alias(name))
 
 
+def increasing_pairs(values: np.ndarray) -> int:
+    """How many pairs of a sequence stand in increasing order, bit by bit: such a pair first differs in a bit that its later value has."""
+    _, rank = np.unique(values, return_inverse=True)
+    total = 0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        order = np.argsort(rank >> (bit + 1), kind="stable")
+        group, one = rank[order] >> (bit + 1), (rank[order] >> bit & 1).astype(bool)
+        zeros = np.cumsum(~one)
+        first = np.searchsorted(group, group)
+        total += int((zeros - np.where(first > 0, zeros[first - 1], 0))[one].sum())
+    return total
+
+
 def kendall_tau(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Rank agreement of two orders (doc_id, pos, item) over the items of both; one if fewer than two.
 
     With repeated items a predicted item's rank is its first place, a true one's
-    its last, and a pair of the same item disagrees. Documents are small here:
-    pairs are formed within one document only.
+    its last, and a pair of the same item disagrees. Pairs are counted, not formed.
     """
     t = truth.groupBy("doc_id", "item").agg(F.max("pos").alias("t"))
     first = Window.partitionBy("doc_id", "item")
     p = predicted.withColumn("p", F.min("pos").over(first)).join(t, ["doc_id", "item"])
-    distinct = p.groupBy("doc_id").agg(F.countDistinct("item").alias("n_items"))
-    a, b = p.select("doc_id", F.struct("pos", "p", "t").alias("a")), p.select("doc_id", F.struct("pos", "p", "t").alias("b"))
-    agree = F.when(F.col("a.t") < F.col("b.t"), F.col("a.p") < F.col("b.p")).otherwise(F.col("a.p") > F.col("b.p"))
-    pairs = a.join(b, "doc_id").where("a.pos < b.pos").groupBy("doc_id").agg(F.avg(F.when(agree, 1.0).otherwise(-1.0)).alias("tau"))
+
+    def tau(rows: list[dict]):
+        rows = sorted(rows, key=lambda r: r["p"])
+        t = np.array([r["t"] for r in rows])
+        n = len(t) * (len(t) - 1) // 2
+        yield 2 * increasing_pairs(t) / n - 1 if len(set(t.tolist())) > 1 else 1.0,
+
+    found = fold_documents(p, ["p", "t"], tau, "tau double")
     everyone = predicted.select("doc_id").union(truth.select("doc_id")).distinct()
-    x = everyone.join(distinct, "doc_id", "left").join(pairs, "doc_id", "left")
-    return x.select("doc_id", F.when(F.coalesce("n_items", F.lit(0)) < 2, 1.0).otherwise(F.coalesce("tau", F.lit(1.0))).alias("reading_order_kendall_tau"))
+    return everyone.join(found, "doc_id", "left").select("doc_id", F.coalesce("tau", F.lit(1.0)).alias("reading_order_kendall_tau"))
 
 
 def cells(tables: DataFrame, *key: str) -> DataFrame:
@@ -120,6 +137,53 @@ def evaluate(parts: list[DataFrame], documents: DataFrame) -> DataFrame:
     return x.withColumn("badcase_count", badcase_count(*(F.col(m) for m in ("heading_level_accuracy", "parent_child_f1", "table_cell_f1", "text_cer"))))
 
 
+def heading_chains(nodes: DataFrame, id: str = "node_id") -> DataFrame:
+    """(doc_id, pos, text, chain): the headings with text among nodes (pos, id, node_type, text, parent_id), and the texts of those above them, outermost first."""
+
+    def chains(rows: list[dict]):
+        said = {r["id"]: (r["text"] or "").strip() or r["id"] for r in rows if r["heading"]}
+        above = {r["id"]: r["parent_id"] for r in rows}
+        for r in rows:
+            if not r["heading"] or not (r["text"] or "").strip():
+                continue
+            chain, up = [], r["parent_id"]
+            while up and up not in chain:
+                chain.append(up)
+                up = above.get(up)
+            yield r["pos"], r["text"].strip(), [said.get(x, x) for x in reversed(chain)]
+
+    rows = nodes.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col(id).alias("id"), (F.col("node_type") == "heading").alias("heading"), "text", "parent_id")
+    return fold_documents(rows, ["pos", "id", "heading", "text", "parent_id"], chains, "pos bigint, text string, chain array<string>")
+
+
+def evaluate_trees(nodes: DataFrame, truth: DataFrame, documents: DataFrame, true_parents: bool = False) -> DataFrame:
+    """Documents (doc_id, dirt_level) with every metric of their trees against annotations.
+
+    ``nodes`` are those of ``tree.build_tree`` (preorder is their reading order,
+    pos that of their text); ``truth`` has doc_id, pos, id, type, text, parent_id
+    and perhaps cell_matrix. Pairs are (root, heading) unless ``true_parents``.
+    """
+    t = truth.withColumnsRenamed({"id": "node_id", "type": "node_type"})
+    found, wanted = heading_chains(nodes), heading_chains(t)
+    parent = F.coalesce(F.try_element_at("chain", F.lit(-1)), F.lit("root")) if true_parents else F.lit("root")
+    pairs = lambda df: df.select("doc_id", parent.alias("parent"), F.col("text").alias("child"))
+    order = lambda df, pos, item: df.where(item != "").select("doc_id", F.col(pos).alias("pos"), item.alias("item"))
+    orders = order(nodes, "preorder", text.text_of("text")), order(t, "pos", F.coalesce(F.nullif(text.text_of("text"), F.lit("")), "node_id", F.lit("")))
+    said = lambda df: df.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(text.text_of("text") != "", F.struct("pos", "text")))), lambda r: r["text"]), " ").alias("said"))
+    tables = lambda df: df.where("node_type = 'table' AND size(cell_matrix) > 0") if "cell_matrix" in df.columns else df.where("false").withColumn("cell_matrix", F.lit(None).cast("array<array<string>>"))
+    both = documents.select("doc_id").join(said(nodes).withColumnRenamed("said", "p"), "doc_id", "left").join(said(t).withColumnRenamed("said", "t"), "doc_id", "left")
+    score = documents.select("doc_id").join(paired_table_f1(tables(nodes), tables(t)), "doc_id", "left").withColumn("table_cell_f1", F.coalesce("table_cell_f1", F.lit(1.0)))
+    flagged = nodes if "need_review" in nodes.columns else nodes.withColumn("need_review", F.lit(False))
+    parts = [
+        heading_accuracy(found, wanted), pair_f1(pairs(found), pairs(wanted), name="parent_child_f1").select("doc_id", "parent_child_f1"), kendall_tau(*orders),
+        score, both.select("doc_id", cer(F.col("p"), F.col("t")).alias("text_cer")), review_ratio(flagged, "doc_id"),
+    ]
+    results = evaluate(parts, documents)
+    # A document without true headings has lost none.
+    empty = {"heading_level_accuracy": 1.0, "parent_child_f1": 1.0, "reading_order_kendall_tau": 1.0, "review_ratio": 0.0}
+    return results.withColumns({m: F.coalesce(m, F.lit(v)) for m, v in empty.items()})
+
+
 def report(results: DataFrame) -> DataFrame:
     """By dirt_level: documents, mean metrics (missing ones are zero) and badcases."""
     return results.groupBy("dirt_level").agg(F.count("*").alias("count"), *(F.avg(F.coalesce(F.col(m).cast("double"), F.lit(0.0))).alias(m) for m in METRICS), F.sum("badcase_count").cast("long").alias("badcase_total"))
@@ -145,11 +209,27 @@ def recall(found: Column, wanted: Column) -> Column:
 
 
 def anchor_pages(paragraphs: DataFrame, pages: DataFrame, n: int = 10) -> DataFrame:
-    """First page (doc_id, page_id, text) that holds the first ``n`` characters of each paragraph (doc_id, pos, text), or null."""
-    anchor = text.strip(F.substring(text.text_of("text"), 1, n))
-    p = paragraphs.withColumn("anchor", anchor)
-    hits = p.where("anchor <> ''").join(pages.select("doc_id", "page_id", F.col("text").alias("page_text")), "doc_id").where(F.col("page_text").contains(F.col("anchor")))
-    return p.join(hits.groupBy("doc_id", "pos").agg(F.min("page_id").alias("found_page")), ["doc_id", "pos"], "left")
+    """First page (doc_id, page_id, text) that holds the first ``n`` characters of each paragraph (doc_id, pos, text), or null.
+
+    Each page is read once for all anchors of its document.
+    """
+    p = paragraphs.withColumn("anchor", text.strip(F.substring(text.text_of("text"), 1, n)))
+    asked = p.where("anchor <> ''").select("doc_id", F.lit(None).cast("int").alias("page_id"), "anchor").distinct()
+    rows = asked.unionByName(pages.select("doc_id", F.col("page_id").cast("int").alias("page_id"), F.col("text").alias("anchor")))
+
+    def first_pages(rows: list[dict]):
+        wanted: dict[int, set] = {}
+        for r in rows:
+            if r["page_id"] is None:
+                wanted.setdefault(len(r["anchor"]), set()).add(r["anchor"])
+        for page, said in sorted((r["page_id"], r["anchor"] or "") for r in rows if r["page_id"] is not None):
+            for size, anchors in wanted.items():
+                for found in anchors.intersection(said[i : i + size] for i in range(len(said) - size + 1)):
+                    anchors.discard(found)
+                    yield found, page
+
+    found = fold_documents(rows, ["page_id", "anchor"], first_pages, "anchor string, found_page int")
+    return p.join(found, ["doc_id", "anchor"], "left")
 
 
 def page_deviation(pages: DataFrame) -> DataFrame:

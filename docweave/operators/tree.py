@@ -136,7 +136,7 @@ def pair_captions(nodes: DataFrame, ratio: float = CAPTION_RATIO, same_page: boo
     """
 
     def run(rows: list[dict]):
-        rows = sorted(rows, key=lambda r: r["pos"])
+        rows = sorted(rows, key=lambda r: (r["pos"], r["node_id"], r["y1"], r["y2"]))
         free = {r["node_id"]: r for r in rows if r["node_type"] == "caption"}
         for image in (r for r in rows if r["node_type"] == "image"):
             best, least = None, float("inf")

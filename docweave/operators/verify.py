@@ -2,57 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import boxes, text
+from ..functions import text
 from ..functions.folds import fold_documents
+from ..functions.text import ratio
 
 WEAK, STRONG = 0.80, 0.95
+#: Blocks of a document that one fold compares with all of its spans.
+CHUNK = 500
+
+
+def _greedy(rows: list[dict]):
+    """Pairs (block_id, object_id, similarity, overlap) by similarity, overlapping boxes first, then block and span order; each side once."""
+    used_b, used_s = set(), set()
+    for r in sorted(rows, key=lambda r: (-r["similarity"], not r["overlap"], r["bp"], r["sp"])):
+        if r["block_id"] not in used_b and r["object_id"] not in used_s:
+            used_b.add(r["block_id"])
+            used_s.add(r["object_id"])
+            yield r["block_id"], r["object_id"], r["similarity"], r["overlap"]
+
+
+def _meet(a: dict | None, b: dict | None) -> bool:
+    return bool(a and b) and min(a["x2"], b["x2"]) > max(a["x1"], b["x1"]) and min(a["y2"], b["y2"]) > max(a["y1"], b["y1"])
+
+
+def _equal(rows: list[dict]):
+    """The greedy pairs among blocks and spans of one text."""
+    blocks, spans = (sorted((r for r in rows if r["side"] == side), key=lambda r: r["pos"]) for side in "bs")
+    free = dict.fromkeys(range(len(spans)))
+    for overlap in (True, False):
+        rest = []
+        for block in blocks:
+            hit = next((i for i in free if not overlap or _meet(block["bbox"], spans[i]["bbox"])), None)
+            if hit is None:
+                rest.append(block)
+            else:
+                del free[hit]
+                yield block["id"], spans[hit]["id"], 1.0, overlap
+        blocks = rest
+
+
+def _alike(rows: list[dict]):
+    """(bp, block_id, sp, object_id, similarity, overlap) of the blocks and spans that are similar enough.
+
+    Neither lengths nor counts of letters may rule a pair out: both bound the similarity from above.
+    """
+    blocks, spans = ([r | {"text": r["text"].strip()} for r in rows if r["side"] == side] for side in "bs")
+    if not (blocks and spans):
+        return
+    length = np.array([len(r["text"]) for r in spans])
+    counts = np.stack([_letters(r["text"]) for r in spans])
+    for block in blocks:
+        n = len(block["text"])
+        near = np.flatnonzero(2 * np.minimum(length, n) >= WEAK * (length + n))
+        most = 2 * np.minimum(counts[near], _letters(block["text"])).sum(1)
+        for i in near[most >= WEAK * (length[near] + n)].tolist():
+            similarity = ratio(block["text"], spans[i]["text"])
+            if similarity >= WEAK:
+                yield block["pos"], block["id"], spans[i]["pos"], spans[i]["id"], similarity, _meet(block["bbox"], spans[i]["bbox"])
+
+
+def _letters(said: str) -> np.ndarray:
+    """How often each of 64 classes of characters occurs."""
+    return np.bincount(np.frombuffer(said.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
 
 
 def align(blocks: DataFrame, spans: DataFrame, same_page: bool = False) -> DataFrame:
     """doc_id, block_id, object_id, similarity, overlap, level and confidence: one match at most for each block and span.
 
     Pairs are taken greedily by similarity, overlapping boxes first, then block
-    and span order. The similarity of texts of lengths a and b is at most
-    2 min / (a + b), so pairs whose lengths differ too much never reach the
-    similarity function. Blocks without a match get a row of level ``none``.
+    and span order. Equal texts have the highest similarity, so they are matched
+    first, text by text. What is left of a document meets in chunks of blocks;
+    there lengths and counts of letters, which bound the similarity, rule out
+    most pairs before the similarity function sees them. With ``same_page``
+    only texts of one page match. Blocks without a match get a row of level ``none``.
     """
-    said = blocks.where(text.text_of("text") != "").select("doc_id", F.struct("pos", "block_id", "page_id", "bbox", "text").alias("b"))
-    seen = spans.select("doc_id", F.struct("pos", "object_id", "page_id", "bbox", "text").alias("s"))
-    n = lambda c: F.length(text.strip(text.text_of(F.col(c)["text"])))
-    near = said.join(seen, "doc_id").where((F.least(n("b"), n("s")) > 0) & (2 * F.least(n("b"), n("s")) >= WEAK * (n("b") + n("s"))))
-    if same_page:
-        near = near.where(F.col("b")["page_id"] == F.col("s")["page_id"])
-    pairs = near.withColumn("similarity", text.similarity(F.col("b")["text"], F.col("s")["text"])).where(F.col("similarity") >= WEAK)
-    pairs = pairs.select("doc_id", F.col("b.pos").alias("bp"), F.col("b.block_id").alias("block_id"), F.col("s.pos").alias("sp"), F.col("s.object_id").alias("object_id"), "similarity", boxes.overlaps(F.col("b")["bbox"], F.col("s")["bbox"]).alias("overlap"))
-
-    def greedy(rows: list[dict]):
-        used_b, used_s = set(), set()
-        for r in sorted(rows, key=lambda r: (-r["similarity"], not r["overlap"], r["bp"], r["sp"])):
-            if r["block_id"] not in used_b and r["object_id"] not in used_s:
-                used_b.add(r["block_id"])
-                used_s.add(r["object_id"])
-                yield r["block_id"], r["object_id"], r["similarity"], r["overlap"]
-
-    matched = fold_documents(pairs, ["bp", "block_id", "sp", "object_id", "similarity", "overlap"], greedy, "block_id string, object_id string, similarity double, overlap boolean")
+    place = ("doc_id", "page_id")
+    page = F.col("page_id").cast("int") if same_page else F.lit(0)
+    side = lambda df, name, who: df.where(text.strip(text.text_of("text")) != "").select("doc_id", page.alias("page_id"), F.lit(name).alias("side"), F.col("pos").cast("long").alias("pos"), F.col(who).cast("string").alias("id"), "bbox", "text", text.strip(F.col("text")).alias("key"))
+    said, seen = side(blocks, "b", "block_id"), side(spans, "s", "object_id")
+    pair = "block_id string, object_id string, similarity double, overlap boolean"
+    equal = fold_documents(said.unionByName(seen), ["side", "pos", "id", "bbox"], _equal, pair, *place, "key").drop("page_id", "key")
+    chunk = F.floor((F.row_number().over(Window.partitionBy(*place).orderBy("pos")) - 1) / CHUNK).cast("int")
+    left = said.join(equal.select("doc_id", F.col("block_id").alias("id")), ["doc_id", "id"], "left_anti").withColumn("chunk", chunk)
+    over = seen.join(equal.select("doc_id", F.col("object_id").alias("id")), ["doc_id", "id"], "left_anti").join(left.groupBy(*place).agg(F.max("chunk").alias("last")), list(place))
+    over = over.withColumn("chunk", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+    alike = fold_documents(left.unionByName(over), ["side", "pos", "id", "bbox", "text"], _alike, "bp bigint, block_id string, sp bigint, object_id string, similarity double, overlap boolean", *place, "chunk")
+    matched = equal.unionByName(fold_documents(alike, ["bp", "block_id", "sp", "object_id", "similarity", "overlap"], _greedy, pair))
     strong = (F.col("similarity") >= STRONG) & F.col("overlap")
-    found = said.select("doc_id", F.col("b.block_id").alias("block_id")).join(matched, ["doc_id", "block_id"], "left")
+    every = blocks.where(text.text_of("text") != "").select("doc_id", F.col("block_id").cast("string").alias("block_id"))
+    found = every.join(matched, ["doc_id", "block_id"], "left")
     level = F.when(F.col("object_id").isNull(), "none").when(strong, "strong").otherwise("weak")
     sure = F.when(level == "strong", (F.col("similarity") + 1) / 2).when(level == "weak", F.col("similarity") * 0.8).otherwise(0.0)
     return found.select("doc_id", "block_id", F.coalesce("object_id", F.lit("")).alias("object_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("overlap", F.lit(False)).alias("overlap"), level.alias("level"), sure.alias("confidence"))
 
 
-def align_exact(blocks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Blocks and spans with equal stripped texts, paired in order: what ``align`` gives at similarity one, without its cost."""
-    from pyspark.sql import Window
-
-    key = text.strip(text.text_of("text"))
-    rank = lambda df, who: df.withColumn("_k", key).where("_k <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("pos"))).select("doc_id", "_k", "_n", who)
-    return rank(blocks, "block_id").join(rank(spans, "object_id"), ["doc_id", "_k", "_n"], "left").select("doc_id", "block_id", F.coalesce("object_id", F.lit("")).alias("object_id"), F.when(F.col("object_id").isNull(), "none").otherwise("weak").alias("level"))
-
-
 def level_counts(alignment: DataFrame) -> DataFrame:
     level = F.col("level")
     return alignment.groupBy("doc_id").agg(F.count("*").alias("total"), *(F.count_if(level == k).alias(k) for k in ("strong", "weak", "none")))

@@ -23,13 +23,10 @@ HEADINGS = """hr AS (
   UNION ALL SELECT n_regionkey, n_nationkey + 1, 0, (n_regionkey + 1) || '.' || (n_nationkey + 1) || ' ' || n_name FROM nation
   UNION ALL SELECT n_regionkey, n_nationkey + 1, c_custkey + 1, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || c_custkey || ' ' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 ), headings AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS pos,
-  CASE WHEN b > 0 THEN 3 WHEN a > 0 THEN 2 ELSE 1 END AS level, split_part(text, ' ', 1) AS number FROM hr),
-parents AS (SELECT h.*, (SELECT max(p.pos) FROM headings p WHERE p.doc_id = h.doc_id AND p.pos < h.pos AND p.level < h.level) AS parent FROM
-  (SELECT * FROM headings) h)"""
+  CASE WHEN b > 0 THEN 3 WHEN a > 0 THEN 2 ELSE 1 END AS level, split_part(text, ' ', 1) AS number FROM hr)"""
 # The numbering itself says what a heading's parent is.
 NUMBERED = """hn AS (SELECT *, regexp_replace(rtrim(number, '.'), '\\.?[0-9]+$', '') AS up FROM headings),
 parents AS (SELECT c.doc_id, c.pos, c.text, c.level, p.pos AS parent_pos, p.text AS parent_text FROM hn c LEFT JOIN hn p ON p.doc_id = c.doc_id AND p.level = c.level - 1 AND rtrim(p.number, '.') = c.up)"""
-HEADINGS = HEADINGS.split(",\nparents AS")[0]
 ELEMENTS = rf"""el AS (
   SELECT page_id AS doc_id, generate_subscripts(regexp_extract_all(coalesce(html, ''), '{T.ELEMENT}', 1), 1) - 1 AS pos,
     unnest(regexp_extract_all(coalesce(html, ''), '{T.ELEMENT}', 1)) AS tag, unnest(regexp_extract_all(coalesce(html, ''), '{T.ELEMENT}', 2)) AS text FROM pages
@@ -40,11 +37,12 @@ BOXES = """lb AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, (l_linenumbe
   CASE WHEN l_returnflag = 'R' THEN '' ELSE l_linestatus END AS text FROM lineitem
 ), boxes AS (SELECT *, x1 + l_quantity - 1 AS x2, y1 + floor(l_quantity / 2) AS y2, CASE WHEN kind = 'title' THEN l_partkey % 9 END AS level FROM lb)"""
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+SPACE = r"[\s\x0B\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"
+UNICODE_STRIP = f"regexp_replace({{0}}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+SPACE = SPACE.format()
 NORMAL = STRIP.format(r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n|\r', chr(10), 'g'), '[ \t\f\v]*\n[ \t\f\v]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
-FIELD_SQL = {
-    "phone": r"\b1[3-9]\d{9}\b",
-    "email": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
-}
+#: Each kind's pattern, as far as RE2 reads it like Java.
+FIELD_SQL = {k: p.replace("\\s", SPACE) if "[：:" not in p else p for k, p in text.FIELDS.items()}
 
 
 def query(sql: str | None = None, schema: str | None = None):
@@ -169,7 +167,14 @@ def chapter_attach(spark, sf_dir):
     return tree.attach_to_chapters(x)
 
 
-@query(schema="doc_id long, node_id string, parent_id string, node_type string, depth long, preorder long")
+KEPT = "kept AS (SELECT * FROM elements WHERE NOT ((y1 + 8 < 842.0 * 0.05 OR y1 > 842.0 * (1 - 0.05)) AND length(text) < 50) AND text <> '')"
+
+
+@query(f"""WITH {ELEMENTS}, {KEPT}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, pos) AS place,
+ last_value(CASE WHEN kind = 'title' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY y1, (kind <> 'title')::INT, pos ROWS UNBOUNDED PRECEDING) AS chapter FROM kept)
+SELECT doc_id, 'e' || pos AS node_id, CASE WHEN kind <> 'title' THEN 'e' || chapter END AS parent_id, CASE WHEN kind = 'title' THEN 'heading' ELSE kind END AS node_type, CASE WHEN kind = 'title' OR chapter IS NULL THEN 1 ELSE 2 END AS depth,
+ row_number() OVER (PARTITION BY doc_id ORDER BY (kind <> 'title' AND chapter IS NULL)::INT, CASE WHEN kind = 'title' THEN pos ELSE chapter END, (kind <> 'title')::INT, CASE WHEN kind <> 'title' THEN place END) AS preorder FROM c""",
+       "doc_id long, node_id string, parent_id string, node_type string, depth long, preorder long")
 def document_tree(spark, sf_dir):
     """Whole trees of the web pages: parents, depths and reading order."""
     return tree.build_tree(blocks.preprocess(T.page_elements(spark, sf_dir)))
@@ -215,25 +220,24 @@ def image_caption_pairs(spark, sf_dir):
     return tree.pair_captions(T.line_boxes(spark, sf_dir).withColumnRenamed("block_id", "node_id").withColumnRenamed("block_type", "node_type"))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, pos, page_id, regexp_replace(substr(text, 1, 60), '[.,!?;:"]', '', 'g') AS text FROM line_blocks),
-f AS (SELECT doc_id, pos // 4 + 1 AS page_id, pos, text FROM s),
+@query(f"""WITH wl AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, i // 6 // 4 + 1 AS page_id, i // 6 AS pos, array_to_string(w[i + 1:i + 12], ' ') AS text FROM (SELECT *, unnest(range(0, len(w), 6)) AS i FROM wl)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY pos) AS a, row_number() OVER (PARTITION BY doc_id, page_id ORDER BY pos DESC) AS z FROM f),
-k AS (SELECT doc_id, pos, page_id, text, a, z, list_distinct([w FOR w IN string_split_regex(lower({STRIP.format('text')}), '\\s+') IF length(w) > 1]) AS w FROM r WHERE a <= 3 OR z <= 3),
+k AS (SELECT *, list_distinct(list_concat([w FOR w IN string_split_regex(lower({UNICODE_STRIP.format('text')}), '{SPACE}+') IF length(w) > 1], regexp_extract_all(text, '[一-鿿]'))) AS w,
+ right(regexp_replace(text, '{SPACE}+$', ''), 1) IN ({', '.join(f"'{x}'" for x in text.SENTENCE_ENDS)}) AS ends FROM r WHERE a <= 3 OR z <= 3),
 p AS (SELECT t.doc_id, t.pos AS tail_pos, h.pos AS head_pos, row_number() OVER (PARTITION BY t.doc_id, t.pos ORDER BY h.pos) AS n FROM k t JOIN k h ON h.doc_id = t.doc_id AND h.page_id = t.page_id + 1 AND t.z <= 3 AND h.a <= 3
- WHERE t.text <> '' AND h.text <> '' AND len(t.w) > 0 AND len(h.w) > 0 AND len(list_intersect(t.w, h.w)) / len(list_distinct(list_concat(t.w, h.w))) >= 0.3)
+ WHERE NOT t.ends AND t.text <> '' AND h.text <> '' AND len(t.w) > 0 AND len(h.w) > 0 AND len(list_intersect(t.w, h.w)) / len(list_distinct(list_concat(t.w, h.w))) >= 0.3)
 SELECT doc_id, tail_pos, head_pos FROM p WHERE n = 1""", "doc_id long, tail_pos long, head_pos long")
 def cross_page_paragraphs(spark, sf_dir):
-    """The first sixty characters of every line, without signs, on pages of four."""
-    x = T.line_blocks(spark, sf_dir).withColumn("text", F.regexp_replace(F.substring("text", 1, 60), '[.,!?;:"]', "")).withColumn("page_id", (F.floor(F.col("pos") / 4) + 1).cast("int"))
+    """The documents in lines of twelve words, the last six of each of which begin the next, on pages of four lines."""
+    word = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    d = T.read(spark, sf_dir, "documents").select("doc_id", word.alias("w")).where("size(w) > 0")
+    lines = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(6)), lambda i: F.array_join(F.slice("w", i + 1, F.lit(12)), " "))
+    x = d.select("doc_id", F.posexplode(lines).alias("pos", "text")).withColumn("page_id", (F.floor(F.col("pos") / 4) + 1).cast("int"))
+    x = x.withColumn("block_id", F.concat(F.lit("b"), F.col("pos").cast("string"))).withColumn("block_type", F.lit("paragraph")).withColumn("bbox", boxes.box(F.lit(50), F.col("pos") % 4, F.lit(545), F.col("pos") % 4 + 1))
     return crosspage.split_paragraphs(x)
 
 
-@query(schema="doc_id long, tail_pos long, head_pos long")
-def cross_page_paragraphs_whole(spark, sf_dir):
-    """The whole lines with their signs, on pages of four."""
-    return crosspage.split_paragraphs(T.line_blocks(spark, sf_dir).withColumn("page_id", (F.floor(F.col("pos") / 4) + 1).cast("int")))
-
-
 @query("""WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, 50 + o_orderkey % 3 * 20 AS x1 FROM orders),
 p AS (SELECT *, (pos - 1) // 7 + 1 AS page, count(*) OVER (PARTITION BY doc_id, (pos - 1) // 7) AS size FROM o)
 SELECT t.doc_id, t.pos AS tail_pos, h.pos AS head_pos FROM p t JOIN p h ON h.doc_id = t.doc_id AND h.page = t.page + 1 AND h.pos = t.pos + 1 AND abs(t.x1 - h.x1) < 30""", "doc_id long, tail_pos long, head_pos long")
@@ -246,37 +250,35 @@ def cross_page_tables(spark, sf_dir):
     return crosspage.split_tables(T.nation_tables(spark, sf_dir))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '{p}')) AS value FROM documents" for k, p in FIELD_SQL.items())
-       + r" UNION ALL SELECT doc_id, 'digits' AS kind, count(*)::VARCHAR AS value FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9][0-9,]*')) FROM documents) GROUP BY doc_id", "doc_id long, kind string, value string")
-def critical_fields(spark, sf_dir):
-    """E-mail addresses and phone numbers, and how many number runs each document has."""
-    x = T.read(spark, sf_dir, "documents").select("doc_id", F.col("text"))
-    hits = x.select("doc_id", F.explode(text.critical_fields(F.col("text"))).alias("f")).select("doc_id", "f.*")
-    runs = x.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[0-9][0-9,]*")).alias("n")).where("n > 0")
-    return hits.where(F.col("kind").isin(*FIELD_SQL)).unionByName(runs.select("doc_id", F.lit("digits").alias("kind"), F.col("n").cast("string").alias("value")))
+def _fields(column: str) -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest([{UNICODE_STRIP.format('v')} FOR v IN regexp_extract_all(coalesce({column}, ''), '{p}')]) AS value FROM documents" for k, p in FIELD_SQL.items())
 
 
-@query(schema="doc_id long, kind string, value string")
-def critical_fields_whole(spark, sf_dir):
+@query(_fields("text"), "doc_id long, kind string, value string")
+def critical_fields(spark, sf_dir):
     """The fields of all six kinds."""
     x = T.read(spark, sf_dir, "documents")
     return x.select("doc_id", F.explode(text.critical_fields(F.col("text"))).alias("f")).select("doc_id", "f.*")
 
 
-@query(schema="doc_id long, kind string, value string, left_value string, right_value string, source string, resolution string")
+@query(f"""WITH l AS (SELECT doc_id, kind, value, count(*) AS n FROM ({_fields("text")}) GROUP BY ALL), r AS (SELECT doc_id, kind, value, count(*) AS m FROM ({_fields("translate(text, '9', '8')")}) GROUP BY ALL)
+SELECT doc_id, kind, value, substr(repeat(', ' || value, n), 3) AS left_value, substr(repeat(', ' || value, coalesce(m, 0)), 3) AS right_value, 'vlm_vs_pdf' AS source, 'adopted_pdf' AS resolution FROM l LEFT JOIN r USING (doc_id, kind, value) WHERE n <> coalesce(m, 0)""",
+       "doc_id long, kind string, value string, left_value string, right_value string, source string, resolution string")
 def critical_field_conflicts(spark, sf_dir):
     """Fields of the documents against a copy in which nines became eights."""
     x = T.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("vlm_text"), F.translate(F.coalesce("text", F.lit("")), "9", "8").alias("pdf_text"))
     return verify.verify_fields(x)
 
 
-@query(f"""WITH {LINES}, b AS (SELECT doc_id, pos, k, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM (SELECT doc_id, pos, {STRIP.format('text')} AS k FROM lines) WHERE k <> ''),
-s AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM b WHERE pos % 3 <> 0)
-SELECT b.doc_id, 'b' || b.pos AS block_id, CASE WHEN s.k IS NULL THEN 'none' ELSE 'weak' END AS level FROM b LEFT JOIN s USING (doc_id, k, n)""", "doc_id long, block_id string, level string")
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, pos, k, pos % 40 AS place FROM (SELECT doc_id, pos, {UNICODE_STRIP.format('text')} AS k, text FROM lines) WHERE text <> ''),
+n AS (SELECT *, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY doc_id, k, place ORDER BY pos)),
+s AS (SELECT doc_id, pos, k, place, row_number() OVER (PARTITION BY doc_id, k, place ORDER BY pos) AS n FROM b WHERE pos % 3 <> 0 AND k <> '')
+SELECT n.doc_id, 'b' || n.pos AS block_id, coalesce('b' || s.pos, '') AS object_id, CASE WHEN s.pos IS NULL THEN 'none' ELSE 'strong' END AS level, CASE WHEN s.pos IS NULL THEN 0 ELSE 1 END::DOUBLE AS confidence FROM n LEFT JOIN s USING (doc_id, k, place, n)""",
+       "doc_id long, block_id string, object_id string, level string, confidence double")
 def text_align_exact(spark, sf_dir):
     """Lines of the documents against the same lines with every third one missing."""
     x = T.line_blocks(spark, sf_dir)
-    return verify.align_exact(x, x.where("pos % 3 <> 0").withColumn("object_id", F.col("block_id")))
+    return verify.align(x, x.where("pos % 3 <> 0").withColumn("object_id", F.col("block_id")))
 
 
 def _fuzzy(spark, sf_dir):
@@ -372,15 +374,35 @@ def cer(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
-    """Metric rows made from the sizes of the documents."""
-    d = T.read(spark, sf_dir, "documents")
-    part = lambda m, n: (F.col("doc_id") % m / n).cast("double")
-    x = d.select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("dirt_level"), part(11, 10.0).alias("heading_level_accuracy"), part(7, 6.0).alias("parent_child_f1"), F.when(F.col("doc_id") % 3 > 0, part(5, 4.0)).alias("reading_order_kendall_tau"), part(9, 8.0).alias("table_cell_f1"), part(13, 60.0).alias("text_cer"), part(17, 50.0).alias("review_ratio"))
-    return x.withColumn("badcase_count", evaluation.badcase_count(*(F.col(m) for m in ("heading_level_accuracy", "parent_child_f1", "table_cell_f1", "text_cer"))))
-
-
-RESULTS = """res AS (SELECT doc_id, coalesce(lang, 'unknown') AS dirt_level, doc_id % 11 / 10.0::DOUBLE AS heading_level_accuracy, doc_id % 7 / 6.0::DOUBLE AS parent_child_f1, CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 / 4.0::DOUBLE END AS reading_order_kendall_tau,
- doc_id % 9 / 8.0::DOUBLE AS table_cell_f1, doc_id % 13 / 60.0::DOUBLE AS text_cer, doc_id % 17 / 50.0::DOUBLE AS review_ratio FROM documents)"""
+    """The trees of the web pages against their elements as they stand in the source, by hosts' kinds of dirt."""
+    x = T.page_elements(spark, sf_dir)
+    heading = F.col("block_type") == "title"
+    truth = x.select("doc_id", "pos", F.col("block_id").alias("id"), F.when(heading, "heading").otherwise(F.col("block_type")).alias("type"), "text", F.lit(None).cast("string").alias("parent_id"))
+    level = F.element_at(F.array(F.lit("light"), F.lit("medium"), F.lit("heavy")), (F.col("doc_id") % 3 + 1).cast("int"))
+    nodes = tree.build_tree(blocks.preprocess(x)).persist()  # every metric reads it
+    return evaluation.evaluate_trees(nodes, truth, x.select("doc_id", level.alias("dirt_level")).distinct())
+
+
+RESULTS = f"""{ELEMENTS}, {KEPT}, ch AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y1, pos) AS place,
+ last_value(CASE WHEN kind = 'title' THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY y1, (kind <> 'title')::INT, pos ROWS UNBOUNDED PRECEDING) AS chapter FROM kept),
+tr AS (SELECT doc_id, pos, kind, {NORMAL.format('text')} AS text, row_number() OVER (PARTITION BY doc_id ORDER BY (kind <> 'title' AND chapter IS NULL)::INT, CASE WHEN kind = 'title' THEN pos ELSE chapter END, (kind <> 'title')::INT, CASE WHEN kind <> 'title' THEN place END) AS preorder FROM ch),
+th AS (SELECT DISTINCT doc_id, {UNICODE_STRIP.format('text')} AS h FROM elements WHERE kind = 'title' AND {UNICODE_STRIP.format('text')} <> ''),
+ph AS (SELECT DISTINCT doc_id, {UNICODE_STRIP.format('text')} AS h FROM kept WHERE kind = 'title' AND {UNICODE_STRIP.format('text')} <> ''),
+he AS (SELECT doc_id, avg((p.h IS NOT NULL)::INT) AS acc, count(p.h) AS tp, count(*) AS nt FROM th LEFT JOIN ph p USING (doc_id, h) GROUP BY doc_id), np AS (SELECT doc_id, count(*) AS np FROM ph GROUP BY doc_id),
+ti AS (SELECT doc_id, coalesce(nullif(text, ''), 'e' || pos) AS item, max(pos) AS t FROM elements GROUP BY ALL),
+pi AS (SELECT doc_id, preorder, t, min(preorder) OVER (PARTITION BY doc_id, item) AS p FROM (SELECT doc_id, preorder, text AS item FROM tr WHERE text <> '') JOIN ti USING (doc_id, item)),
+ta AS (SELECT a.doc_id, avg(CASE WHEN CASE WHEN a.t < b.t THEN a.p < b.p ELSE a.p > b.p END THEN 1.0 ELSE -1.0 END) AS tau, count(DISTINCT a.t) AS n FROM pi a JOIN pi b ON a.doc_id = b.doc_id AND a.preorder < b.preorder GROUP BY a.doc_id),
+sa AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos) FILTER (text <> '') AS said FROM elements GROUP BY doc_id), sk AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS said FROM tr GROUP BY doc_id),
+ce AS (SELECT doc_id, trim(regexp_replace(coalesce(sk.said, ''), '{SPACE}+', ' ', 'g')) AS p, trim(regexp_replace(coalesce(sa.said, ''), '{SPACE}+', ' ', 'g')) AS t FROM sa LEFT JOIN sk USING (doc_id)),
+res AS (SELECT doc_id, ['light', 'medium', 'heavy'][doc_id % 3 + 1] AS dirt_level, coalesce(acc, 1)::DOUBLE AS heading_level_accuracy, coalesce(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (nt + np) END, 1)::DOUBLE AS parent_child_f1,
+ CASE WHEN n > 0 THEN tau ELSE 1 END::DOUBLE AS reading_order_kendall_tau, 1::DOUBLE AS table_cell_f1, CASE WHEN t = '' THEN (p <> '')::INT WHEN p = '' THEN 1 ELSE (length(t) - length(p)) / length(t) END::DOUBLE AS text_cer, 0::DOUBLE AS review_ratio
+ FROM (SELECT DISTINCT doc_id FROM elements) LEFT JOIN he USING (doc_id) LEFT JOIN np USING (doc_id) LEFT JOIN ta USING (doc_id) LEFT JOIN ce USING (doc_id))"""
+
+
+@query(f"WITH {RESULTS} SELECT doc_id, dirt_level, {', '.join(f'round({m}, 6) AS {m}' for m in evaluation.METRICS)}, (heading_level_accuracy < 1)::INT + (parent_child_f1 < 1)::INT + (table_cell_f1 < 1)::INT + (text_cer > 0.05)::INT AS badcase_count FROM res",
+       "doc_id long, dirt_level string, " + ", ".join(f"{m} double" for m in evaluation.METRICS) + ", badcase_count long")
+def tree_evaluation(spark, sf_dir):
+    return _results(spark, sf_dir).withColumns({m: F.round(m, 6) for m in evaluation.METRICS})
 
 
 @query(f"""WITH {RESULTS} SELECT dirt_level, count(*) AS count, {', '.join(f'round(avg(coalesce({m}, 0)), 6)::DOUBLE AS {m}' for m in evaluation.METRICS)},
@@ -404,27 +426,18 @@ def fidelity_recall(spark, sf_dir):
     return x.select("doc_id", F.round(evaluation.recall(F.col("b"), F.col("a")), 6).alias("text_recall"))
 
 
-def _deviation(spark, sf_dir, of):
-    x = T.line_blocks(spark, sf_dir)
-    pages = x.groupBy("doc_id", "page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "\n").alias("text"))
-    found = evaluation.anchor_pages(x.where(of).select("doc_id", "pos", "text", F.col("page_id").alias("expected_page")), pages)
-    return evaluation.page_deviation(found)
-
-
 @query(f"""WITH {LINES}, pg AS (SELECT doc_id, page_id, string_agg(text, chr(10) ORDER BY pos) AS body FROM line_blocks GROUP BY ALL),
-p AS (SELECT doc_id, pos, page_id AS expected, {STRIP.format("substr(text, 1, 10)")} AS anchor FROM line_blocks WHERE pos % 40 = 0),
+p AS (SELECT doc_id, pos, page_id AS expected, {UNICODE_STRIP.format("substr(text, 1, 10)")} AS anchor FROM line_blocks WHERE {UNICODE_STRIP.format("text")} <> ''),
 f AS (SELECT p.*, (SELECT min(pg.page_id) FROM pg WHERE pg.doc_id = p.doc_id AND p.anchor <> '' AND contains(pg.body, p.anchor)) AS found FROM p),
 b AS (SELECT doc_id, coalesce(least(abs(expected - found), 5), 5) AS bucket FROM f)
 SELECT doc_id, {', '.join(f'count(*) FILTER (bucket = {i}) AS off_{i}' for i in range(6))}, round(count(*) FILTER (bucket <= 1) / count(*), 6)::DOUBLE AS deviation_ratio FROM b GROUP BY doc_id""",
        "doc_id long, " + ", ".join(f"off_{i} long" for i in range(6)) + ", deviation_ratio double")
 def page_deviation(spark, sf_dir):
-    return _deviation(spark, sf_dir, F.expr("pos % 40 = 0")).withColumn("deviation_ratio", F.round("deviation_ratio", 6))
-
-
-@query(schema="doc_id long, " + ", ".join(f"off_{i} long" for i in range(6)) + ", deviation_ratio double")
-def page_deviation_whole(spark, sf_dir):
-    """Every line that isn't empty, rather than the first of each page."""
-    return _deviation(spark, sf_dir, text.strip(text.text_of("text")) != "").withColumn("deviation_ratio", F.round("deviation_ratio", 6))
+    """Every line of the documents that isn't blank, looked up on their pages."""
+    x = T.line_blocks(spark, sf_dir)
+    pages = x.groupBy("doc_id", "page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    found = evaluation.anchor_pages(x.where(text.strip(text.text_of("text")) != "").select("doc_id", "pos", "text", F.col("page_id").alias("expected_page")), pages)
+    return evaluation.page_deviation(found).withColumn("deviation_ratio", F.round("deviation_ratio", 6))
 
 
 def _fidelity(spark, sf_dir):
@@ -465,46 +478,59 @@ def content_list_parse(spark, sf_dir):
     return x.groupBy("doc_id", "block_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.coalesce(F.max("local_level"), F.lit(0)).alias("level"))
 
 
-@query(schema="doc_id long, pos long, block_type string, local_level long, text string")
+@query("""WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderpriority AS p FROM orders)
+SELECT doc_id, pos, CASE WHEN pos % 5 >= 4 OR pos % 4 = 0 THEN 'title' WHEN pos % 4 < 3 THEN 'list' ELSE 'paragraph' END AS block_type, CASE WHEN pos % 5 >= 4 THEN 1 WHEN pos % 4 = 0 THEN 2 END AS local_level,
+ CASE pos % 4 WHEN 0 THEN pos || '.' || pos || ' ' || p WHEN 1 THEN pos || ') ' || p WHEN 2 THEN '- ' || p ELSE p END AS text FROM o""", "doc_id long, pos long, block_type string, local_level long, text string")
 def rule_blocks(spark, sf_dir):
-    """Orders' list lines as text objects of varying size, typed by rule."""
+    """Orders as text objects of varying size, numbered as headings, as items or not at all, typed by rule."""
     x = T.order_lists(spark, sf_dir).withColumn("line", F.col("pos")).withColumn("font_size", (F.col("pos") % 5 + 10).cast("double"))
+    n, said = F.col("pos").cast("string"), F.substring_index("text", ". ", -1)
+    kind = F.col("pos") % 4
+    x = x.withColumn("text", F.when(kind == 0, F.concat(n, F.lit("."), n, F.lit(" "), said)).when(kind == 1, F.concat(n, F.lit(") "), said)).when(kind == 2, F.concat(F.lit("- "), said)).otherwise(said))
     return content_json.rule_blocks(x)
 
 
 @query(schema="rule string, n_changes long")
 def xml_clean_counts(spark, sf_dir):
-    """Lines of the documents in DOCX files with every third line inserted, fourth deleted, fifth hidden and seventh struck."""
+    """Lines of the documents in DOCX files, every third inserted, fourth deleted, fifth hidden, sixth with a comment, seventh struck, eighth with a field; macros in every second file."""
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     line = F.regexp_replace("text", r"[<&\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
     n = F.col("pos")
     marks = F.concat(F.when(n % 5 == 0, "<w:vanish/>").otherwise(""), F.when(n % 7 == 0, "<w:strike/>").otherwise(""))
     run = F.concat(F.lit("<w:r><w:rPr>"), marks, F.lit("</w:rPr><w:t>"), line, F.lit("</w:t></w:r>"))
     run = F.when(n % 3 == 0, F.concat(F.lit("<w:ins>"), run, F.lit("</w:ins>"))).when(n % 4 == 0, F.concat(F.lit("<w:del>"), run, F.lit("</w:del>"))).otherwise(run)
-    lines = T.line_blocks(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("<w:p>"), run, F.lit("</w:p>")).alias("p"))
+    mark = '<w:r><w:fldChar w:fldCharType="{}"/></w:r>'.format
+    field = mark("begin") + "<w:r><w:instrText>PAGE</w:instrText></w:r>" + mark("separate") + "<w:r><w:t>1</w:t></w:r>" + mark("end")
+    more = F.concat(F.when(n % 6 == 0, '<w:commentRangeStart w:id="1"/>').otherwise(""), F.when(n % 8 == 0, field).otherwise(""))
+    lines = T.line_blocks(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("<w:p>"), run, more, F.lit("</w:p>")).alias("p"))
     xml = lines.groupBy("doc_id").agg(F.concat(F.lit(f"<w:document {ns}><w:body>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "p"))), lambda r: r["p"]), ""), F.lit("</w:body></w:document>")).alias("xml"))
 
     @F.pandas_udf("binary")
-    def zipped(texts):
+    def zipped(texts, macros):
         import io
         import zipfile
 
-        def one(text):
+        import pandas as pd
+
+        def one(text, with_macros):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w") as z:
                 z.writestr("word/document.xml", text)
+                if with_macros:
+                    z.writestr("word/vbaProject.bin", "x")
             return out.getvalue()
 
-        return texts.map(one)
+        return pd.Series(list(map(one, texts, macros)), dtype=object)
 
-    return cleaning.changes_by_rule(cleaning.clean(xml.select("doc_id", zipped("xml").alias("content"))))
+    return cleaning.changes_by_rule(cleaning.clean(xml.select("doc_id", zipped("xml", F.col("doc_id") % 2 == 0).alias("content"))))
 
 
 ORACLE_SQL["xml_clean_counts"] = f"""WITH {LINES}, m AS (SELECT *, pos % 3 <> 0 AND pos % 4 = 0 AS gone FROM lines)
 SELECT 'accept_revisions' AS rule, count(*) FILTER (pos % 3 = 0 OR pos % 4 = 0) AS n_changes FROM m
 UNION ALL SELECT 'remove_vanish', count(*) FILTER (NOT gone AND pos % 5 = 0) FROM m
 UNION ALL SELECT 'remove_strikethrough', count(*) FILTER (NOT gone AND pos % 5 <> 0 AND pos % 7 = 0) FROM m
-UNION ALL SELECT 'strip_comments', 0 UNION ALL SELECT 'freeze_fields', 0 UNION ALL SELECT 'strip_macros', 0"""
+UNION ALL SELECT 'strip_comments', count(*) FILTER (pos % 6 = 0) FROM m UNION ALL SELECT 'freeze_fields', count(*) FILTER (pos % 8 = 0) FROM m
+UNION ALL SELECT 'strip_macros', count(*) FILTER (doc_id % 2 = 0) FROM (SELECT DISTINCT doc_id FROM m)"""
 
 
 @query(f"""WITH {ELEMENTS} SELECT CASE WHEN kind = 'title' THEN 'Heading1' WHEN kind = 'list' THEN 'ListParagraph' ELSE 'Normal' END AS style_id, CASE WHEN kind = 'title' THEN 22.0 ELSE 12.0 END::DOUBLE AS size, count(*) AS n FROM elements GROUP BY ALL""", "style_id string, size double, n long")
@@ -519,21 +545,34 @@ def render_files(spark, sf_dir):
     return render.render(tree.build_tree(blocks.preprocess(T.page_elements(spark, sf_dir)))).withColumn("n_bytes", F.length("content"))
 
 
-@query(f"""WITH {ELEMENTS}, w AS (SELECT doc_id, tag, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM elements WHERE tag IN ('title', 'h1')),
-n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id) SELECT doc_id, n AS n_questions, 0::BIGINT AS n_failed FROM n""", "doc_id long, n_questions long, n_failed long")
-def semantic_checks(spark, sf_dir):
-    """Titles of the web pages put to a provider that has no findings."""
+class _Moody:
+    """A provider whose answer depends on the length of the question: none, a fenced finding, no JSON, a failure, JSON of another shape."""
+
+    def chat(self, user_prompt: str, **_) -> str:
+        kind = len(user_prompt) % 5
+        if kind == 3:
+            raise ConnectionError("busy")
+        finding = '{"location": "1", "issue_type": "其他", "description": "d", "confidence": 0.5}'
+        return ("[]", f"```json\n[{finding}]\n```", "none", "", '[{"location": "1"}]')[kind]
+
 
-    class Quiet:
-        def chat(self, **_):
-            return "[]"
+_QUESTION = len(judge.PROMPTS["semantic_check"][1] % ("", ""))
 
-    x = T.page_elements(spark, sf_dir).where(F.col("tag").isin("title", "h1"))
-    asked = judge.ask(x.select("doc_id", "pos", F.lit("semantic_check").alias("task"), judge.check_prompt(F.col("text"), F.lit(None)).alias("prompt")), Quiet())
-    return asked.groupBy("doc_id").agg(F.count("*").alias("n_questions"), F.count("error").alias("n_failed"))
+
+@query(f"""WITH {ELEMENTS}, k AS (SELECT doc_id, pos, (length(text) + {_QUESTION}) % 5 AS kind FROM elements),
+n AS (SELECT *, kind < 2 AND sum((kind < 2)::INT) OVER (PARTITION BY doc_id ORDER BY pos) <= {judge.BUDGET} AS good FROM k)
+SELECT doc_id, count(*) AS n_questions, count(*) FILTER (good) AS n_answered, count(*) FILTER (good AND kind = 1) AS n_findings, count(*) FILTER (NOT good) AS n_failed FROM n GROUP BY doc_id""",
+       "doc_id long, n_questions long, n_answered long, n_findings long, n_failed long")
+def semantic_checks(spark, sf_dir):
+    """Every element of the web pages put to a provider that fails in several ways, within each page's budget."""
+    x = T.page_elements(spark, sf_dir)
+    asked = judge.ask(x.select("doc_id", "pos", F.lit("semantic_check").alias("task"), judge.check_prompt(F.col("text"), F.lit(None)).alias("prompt")), _Moody())
+    found = judge.answers(asked, "semantic_check").groupBy("doc_id").agg(F.count("*").alias("n_findings"))
+    counts = asked.groupBy("doc_id").agg(F.count("*").alias("n_questions"), F.count("answer").alias("n_answered"), F.count("error").alias("n_failed"))
+    return counts.join(found, "doc_id", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
 
 
-@query(schema="doc_id long, model_versions string, n_nodes long, review_queue_count long, review_ratio double")
+@query(f"WITH {ELEMENTS}, {KEPT} SELECT doc_id, 'mock-html' AS model_versions, count(*) + 1 AS n_nodes, 0::BIGINT AS review_queue_count, 0.0::DOUBLE AS review_ratio FROM kept GROUP BY doc_id", "doc_id long, model_versions string, n_nodes long, review_queue_count long, review_ratio double")
 def reconstruct(spark, sf_dir):
     """The whole plan over the web pages: headers of the trees, with the pages' own text as spans."""
     x = T.page_elements(spark, sf_dir)

@@ -4,9 +4,12 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import text
+
 from docweave.operators import blocks as B
 from docweave.operators import cleaning, crosspage, evaluation, judge, render, tree, verify
 
@@ -148,6 +151,45 @@ def test_f1_scores(spark):
     assert evaluation.paired_table_f1(a, tables([["a", "b"], ["c", "e"]], [["other"]])).first()["table_cell_f1"] == 0.375
 
 
+@pytest.mark.parametrize("same_page", [False, True])
+def test_alignment_against_all_pairs(spark, same_page, monkeypatch):
+    monkeypatch.setattr(verify, "CHUNK", 3)
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows, spans = [], []
+    for doc in range(6):
+        for i in range(rng.randint(0, 14)):
+            said = rng.choice(["", " ", "same line", " ".join(rng.choices(words, k=rng.randint(1, 6)))])
+            rows.append((doc, i, rng.randint(1, 2), f"b{i}", (0.0, 10.0 * rng.randint(0, 3), 50.0, 10.0 * rng.randint(0, 3) + 12), said))
+            if rng.random() < 0.8:
+                spans.append((doc, i, rng.randint(1, 2), f"s{i}", (0.0, 10.0 * rng.randint(0, 3), 50.0, 10.0 * rng.randint(0, 3) + 12), said.replace("a", "e", rng.randint(0, 2)) + rng.choice(["", " ", "x"])))
+    schema = "doc_id int, pos int, page_id int, {} string, bbox struct<x1:double,y1:double,x2:double,y2:double>, text string"
+    got = verify.align(spark.createDataFrame(rows, schema.format("block_id")), spark.createDataFrame(spans, schema.format("object_id")), same_page).collect()
+    wanted = {}
+    for doc in range(6):
+        pairs = []
+        for b in (r for r in rows if r[0] == doc):
+            for s in (r for r in spans if r[0] == doc and (not same_page or r[2] == b[2])):
+                alike = text.ratio(b[5], s[5])
+                meet = min(b[4][2], s[4][2]) > max(b[4][0], s[4][0]) and min(b[4][3], s[4][3]) > max(b[4][1], s[4][1])
+                if alike >= verify.WEAK:
+                    pairs.append((-alike, not meet, b[1], s[1], b[3], s[3]))
+        used = set()
+        for a, apart, _, _, b, s in sorted(pairs):
+            if b not in used and s not in used:
+                used |= {b, s}
+                wanted[doc, b] = (s, -a, not apart)
+    assert {(r["doc_id"], r["block_id"]): (r["object_id"], r["similarity"], r["overlap"]) for r in got if r["object_id"]} == wanted and len(wanted) > 5
+    assert sorted((r["doc_id"], r["block_id"]) for r in got) == sorted((r[0], r[3]) for r in rows if r[5] != "")
+
+
+def test_increasing_pairs():
+    rng = random.Random(1)
+    for _ in range(100):
+        v = [rng.randint(0, 9) for _ in range(rng.randint(0, 20))]
+        assert evaluation.increasing_pairs(np.array(v, int)) == sum(a < b for i, a in enumerate(v) for b in v[i + 1 :])
+
+
 def test_heading_accuracy(spark):
     rows = lambda *x: spark.createDataFrame([(1, i, t, c) for i, (t, c) in enumerate(x)], "doc_id int, pos int, text string, chain array<string>")
     truth = rows(("a", []), ("b", ["a"]), ("c", ["a", "b"]))
@@ -190,6 +232,31 @@ def test_cleaning_rules():
     assert names == ["word/document.xml"]
 
 
+def test_fields_in_fields():
+    mark = '<w:r><w:fldChar w:fldCharType="{}"/></w:r>'.format
+    inner = mark("begin") + run_of("CODE2") + mark("separate") + run_of("inner") + mark("end")
+    in_result = mark("begin") + run_of("CODE1") + mark("separate") + run_of("before") + inner + run_of("after") + mark("end")
+    in_code = mark("begin") + run_of("CODE3") + inner + mark("separate") + run_of("result") + mark("end")
+    rest = mark("begin") + run_of("CODE4") + mark("end") + mark("end") + mark("separate") + run_of("open") + mark("begin")
+    content, counts = cleaning.clean_bytes(docx(f"<w:p>{in_result}</w:p><w:p>{in_code}</w:p><w:p>{rest}</w:p>"))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        xml = z.read("word/document.xml").decode()
+    assert counts["freeze_fields"] == 3
+    assert [w for w in ("CODE1", "before", "CODE2", "inner", "after", "CODE3", "result", "CODE4", "open") if w in xml] == ["before", "inner", "after", "result", "CODE4", "open"]
+
+
+def test_a_rule_that_fails_loses_no_other(monkeypatch):
+    def broken(p):
+        p.tree(cleaning.MAIN).clear()
+        raise ValueError("half done")
+
+    rules = [cleaning.RULES[0], ("broken", broken), cleaning.RULES[1]]
+    content, counts = cleaning.clean_bytes(docx(f"<w:p><w:ins>{run_of('kept')}</w:ins>{run_of('hidden', '<w:vanish/>')}</w:p>"), rules)
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        xml = z.read("word/document.xml").decode()
+    assert counts == {"accept_revisions": 1, "broken": 0, "remove_vanish": 1} and "kept" in xml and "hidden" not in xml and "w:ins" not in xml
+
+
 def test_cleaning_frames(spark):
     files = spark.createDataFrame([(1, bytearray(docx(f"<w:p><w:ins>{run_of('a')}</w:ins></w:p>"))), (2, bytearray(b"no zip")), (3, None)], "doc_id int, content binary")
     out = {r["doc_id"]: r for r in cleaning.clean(files).collect()}

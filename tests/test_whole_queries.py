@@ -1,5 +1,6 @@
 """Queries over whole inputs, against brute force."""
 
+import random
 import re
 
 from docweave.functions import text
@@ -13,18 +14,27 @@ def documents(spark, path, texts):
 
 
 def test_whole_lines_across_pages(spark, tmp_path):
-    long, other = " ".join(f"tail{i}" for i in range(12)), " ".join(f"head{i}" for i in range(12))
-    shared = " ".join(f"shared{i}" for i in range(20))
-    # Keywords that meet after sixty characters, a sentence that ends, and one that ends after a beginning that agrees.
-    texts = [f"a\nb\nc\n{long} {shared}\n{other} {shared}", f"a\nb\nc\n{shared}.\n{shared}", f"a\nb\nc\n{shared[:60]} {long}\n{shared[:60]} {other} {other.upper()}x", None]
-    got = QUERIES["cross_page_paragraphs_whole"](spark, documents(spark, tmp_path, texts)).collect()
-    assert [tuple(r) for r in got] == [(0, 3, 4)]
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "gamma.", "delta!", "é", "a", "漢字"]) + str(rng.randint(0, 400)) * rng.randint(0, 1) for _ in range(rng.randint(0, 200))) for _ in range(12)] + [None, ""]
+    got = QUERIES["cross_page_paragraphs"](spark, documents(spark, tmp_path, texts)).collect()
+    wanted = []
+    for doc, said in enumerate(texts):
+        w = (said or "").split()
+        lines = [" ".join(w[i : i + 12]) for i in range(0, len(w), 6)]
+        words = lambda x: {k for k in x.lower().split() if len(k) > 1} | set(re.findall("[一-鿿]", x))
+        for page in range(0, len(lines), 4):
+            heads = range(page + 4, min(page + 7, len(lines)))
+            for tail in range(max(page, min(page + 4, len(lines)) - 3), min(page + 4, len(lines))):
+                a = words(lines[tail])
+                hit = next((h for h in heads if lines[tail][-1] not in text.SENTENCE_ENDS and a and words(lines[h]) and len(a & words(lines[h])) / len(a | words(lines[h])) >= 0.3), None)
+                wanted += [(doc, tail, hit)] if hit is not None else []
+    assert sorted(map(tuple, got)) == sorted(wanted) and len(wanted) > 5
 
 
 def test_every_paragraph_has_a_page(spark, tmp_path):
     lines = [f"line {i % 50:03d} of it" for i in range(130)]
     lines[7] = lines[60] = " "
-    got = QUERIES["page_deviation_whole"](spark, documents(spark, tmp_path, ["\n".join(lines)])).first()
+    got = QUERIES["page_deviation"](spark, documents(spark, tmp_path, ["\n".join(lines)])).first()
     off = [0] * 6
     for i, x in enumerate(lines):
         if x.strip():
@@ -45,6 +55,6 @@ def test_every_element_is_aligned(spark):
 
 def test_all_kinds_of_fields(spark, tmp_path):
     texts = ["Paid USD 1,200.50 on 2024-05-06, No.AB1234, a.b@c.de", "13812345678 and 11010519900307123X", "合同号：HT-2024-01 12月", None, ""]
-    got = QUERIES["critical_fields_whole"](spark, documents(spark, tmp_path, texts)).collect()
+    got = QUERIES["critical_fields"](spark, documents(spark, tmp_path, texts)).collect()
     wanted = [(i, k, m.group(0).strip()) for i, t in enumerate(texts) for k, p in text.FIELDS.items() for m in re.finditer(p, t or "")]
     assert sorted(map(tuple, got)) == sorted(wanted) and {k for _, k, _ in wanted} == set(text.FIELDS)
