@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 
@@ -23,9 +24,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset and all runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="docweave-")
@@ -38,11 +42,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/docweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._docweave_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read any more: all that was made from them must itself be stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._docweave_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def process_cache(name: str, make):
-    """A value that lives in the Python worker until a task asks for another: workers outlast tasks, so at most one is kept."""
+    """A value that lives in the Python worker until a task of another name begins: workers outlast tasks, so at most one is kept."""
     held = sys.__dict__.setdefault("_docweave_process_cache", {})
     if name not in held:
         held.clear()
@@ -50,6 +64,29 @@ def process_cache(name: str, make):
     return held[name]
 
 
+def in_worker(run, cache: str = ""):
+    """``run`` for mapInArrow: what other steps keep in the worker goes first, and free memory goes back to the system at the end."""
+
+    def wrapped(batches):
+        held = sys.__dict__.setdefault("_docweave_process_cache", {})
+        if cache not in held:
+            held.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def every_column(df: DataFrame) -> list:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Columns that identify a document even if doc_id is null or repeated.
 
@@ -77,6 +114,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def distinct_numbers(raw: np.ndarray, keep: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of byte spans, equal if and only if the bytes are: the spans, of the given sizes, make up ``raw[keep]``."""
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    spans = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(raw[keep])])
+    return spans.dictionary_encode().indices.to_numpy()
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
     """Row ranges of a batch of about ``most`` bytes of text, one row at least."""
     _, at = utf8(batch.column(text))
@@ -87,13 +131,14 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
         lo = hi
 
 
-# Multipliers of the rolling hashes; any odd numbers do.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: A fixed random value for each byte; the seed makes every worker use the same.
-BYTE_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: An odd multiplier for ordered pairs of hashes.
+ODD = np.uint64(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Masks of the last bytes of a span, by their number.
+TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,25 +150,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Spans:
-    """64-bit hashes of any spans of an array of 64-bit values from one prefix pass."""
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        with np.errstate(over="ignore"):
-            power = np.full(n + 1, BASE, np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            self.prefix = np.zeros(n + 1, np.uint64)
-            np.cumsum(values * power[:n], out=self.prefix[1:])
-            inverse = np.full(n + 1, BASE_INVERSE, np.uint64)
-            inverse[0] = 1
-            np.multiply.accumulate(inverse, out=inverse)
-            self.inverse = inverse
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, eight at a time.
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
+    Every step is scrambled, so that no family of texts collides by its form, as
+    it does under polynomials modulo 2 ** 64; spans of equal length and at most
+    eight bytes never collide.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    length = end - start
+    h = mix(length.astype(np.uint64) * ODD + np.uint64(1))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    long = np.flatnonzero(length > LONG_SPAN)
+    for i in long.tolist():
+        h[i] = xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    live = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    done = 0
+    while len(live):
+        left = length[live] - done
+        h[live] = mix(h[live] ^ (eight[start[live] + done] & TAIL[np.minimum(left, 8)]))
+        live = live[left > 8]
+        done += 8
+    return h
 
 
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,21 +193,17 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def window_hash(word: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words (polynomial of the word hashes), in O(log n) passes."""
+    """Hash of each run of n word hashes, in O(log n) scrambled passes."""
     m = len(word) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        power = [1]
-        for _ in range(n):
-            power.append(power[-1] * int(BASE) % (1 << 64))
-        done, total, part, width, left = 0, np.zeros(m, np.uint64), word, 1, n
-        while left:
-            if left & 1:
-                total = total + part[done : done + m] * np.uint64(power[done])
-                done += width
-            left >>= 1
-            if left:
-                part = part[:-width] + part[width:] * np.uint64(power[width])
-                width *= 2
-        return mix(total)
+    done, total, part, width, left = 0, np.full(m, np.uint64(n)), word, 1, n
+    while left:
+        if left & 1:
+            total = mix(total * ODD + part[done : done + m])
+            done += width
+        left >>= 1
+        if left:
+            part = mix(part[:-width] * ODD + part[width:])
+            width *= 2
+    return total

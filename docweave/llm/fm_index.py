@@ -40,7 +40,7 @@ class WaveletMatrix:
             padded = np.zeros((len(ones) // 64 + 1) * 64, np.uint8)
             padded[: len(ones)] = ones
             packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            counts = np.zeros(len(packed), np.int64)
+            counts = np.zeros(len(packed), np.uint32)
             np.cumsum(np.bitwise_count(packed)[:-1], out=counts[1:])
             zeros = len(ones) - int(ones.sum())
             self.levels.append((level, packed, counts, zeros))
@@ -49,73 +49,82 @@ class WaveletMatrix:
     def descend(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         for level, packed, counts, zeros in self.levels:
             at = place >> 6
-            ones = counts[at] + np.bitwise_count(packed[at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = counts[at].astype(np.int64) + np.bitwise_count(packed[at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
             place = np.where(symbol >> level & 1, zeros + ones, place - ones)
         return place
 
 
 class FMIndex:
-    """Index of sequences of positive ids, each with a weight (how many copies it stands for)."""
+    """Index of sequences of positive word numbers, each of which stands for one text or for several.
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray, weights: np.ndarray):
+    It keeps the wavelet matrix of the transform, one start a word number, and
+    one bit a place that says whether its sequence stands for several; neither
+    the sequences nor their suffix order.
+    """
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, several: np.ndarray):
         n, m = len(words), len(lengths)
-        ends = np.cumsum(lengths + 1) - 1
         separator = np.zeros(n + m, bool)
-        separator[ends] = True
+        separator[np.cumsum(lengths + 1) - 1] = True
         text = np.zeros(n + m, np.int64)
         text[~separator] = words
-        self.text, self.first = text, ends - lengths
         order = suffix_order(text, separator)
         transform = text[order - 1]  # the place before the first holds a separator: the last
         n_symbols = int(text.max(initial=0)) + 1
-        self.starts = np.cumsum(np.bincount(text, minlength=n_symbols)) - np.bincount(text, minlength=n_symbols)
+        starts = np.cumsum(np.bincount(text, minlength=n_symbols)) - np.bincount(text, minlength=n_symbols)
+        self.size = n + m
         self.tree = WaveletMatrix(transform, n_symbols)
-        self.base = self.starts - self.tree.descend(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
-        weight = np.repeat(weights, lengths + 1)[order]
-        self.weight = np.concatenate([[0], np.cumsum(weight)])
+        self.base = starts - self.tree.descend(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
+        self.several = np.packbits(np.repeat(several, lengths + 1)[order], bitorder="little")
 
     def extend_left(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = self.tree.descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         base = self.base[symbol]
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
-    def backward(self, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """For each pattern text[first + left : first + right], searched from its right end leftwards:
-        the first place (relative to ``first``) whose suffix occurs only once, or left - 1 if all repeat."""
+    def repeats(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which intervals of suffixes stand for two texts or more."""
+        bit = (self.several[np.minimum(lo, self.size - 1) >> 3] >> (lo & 7)) & 1
+        return (hi - lo > 1) | ((hi - lo == 1) & (bit == 1))
+
+    def backward(self, words: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Matching statistics of streamed texts: for each pattern words[first + left : first + right],
+        searched from its right end leftwards, the first place (relative to ``first``) whose suffix
+        doesn't occur twice, or left - 1 if all do."""
         out = left - 1
         active = np.flatnonzero(right > left)
         at = right[active] - 1
-        lo, hi = np.zeros(len(active), np.int64), np.full(len(active), len(self.text))
+        lo, hi = np.zeros(len(active), np.int64), np.full(len(active), self.size)
         while len(active):
-            lo, hi = self.extend_left(self.text[first[active] + at], lo, hi)
-            alone = self.weight[hi] - self.weight[lo] < 2
-            out[active[alone]] = at[alone]
-            go = ~alone & (at > left[active])
+            lo, hi = self.extend_left(words[first[active] + at], lo, hi)
+            more = self.repeats(lo, hi)
+            out[active[~more]] = at[~more]
+            go = more & (at > left[active])
             active, at, lo, hi = active[go], at[go] - 1, lo[go], hi[go]
         return out
 
 
-def repeated_windows(index: FMIndex, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, lo, hi): windows lo..hi-1 of each sequence occur more than once in the index.
+def repeated_windows(index: FMIndex, words: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, lo, hi): windows lo..hi-1 of each streamed text (``words``, of the given lengths) occur more than once in the index.
 
     For the windows that end at ``end`` or before, a probe of their common core
     settles most that don't repeat; else the search from ``end`` gives the
     matching statistics as far as the next place that fails.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    own = np.arange(len(lengths))
+    own, first = np.arange(len(lengths)), np.cumsum(lengths) - lengths
     end = lengths.astype(np.int64).copy()
     half = window // 2
     live = own[end >= window]
     while len(live):
         stop = end[live]
         skip = np.minimum(half, stop - window)
-        failed = index.backward(index.first[live], stop - window, stop - skip)
+        failed = index.backward(words, first[live], stop - window, stop - skip)
         core_repeats = failed < stop - window
         end[live[~core_repeats]] -= skip[~core_repeats] + 1
         check = live[core_repeats]
         stop = end[check]
-        failed = index.backward(index.first[check], np.zeros(len(check), np.int64), stop)
+        failed = index.backward(words, first[check], np.zeros(len(check), np.int64), stop)
         hit = stop - (failed + 1) >= window
         found.append((check[hit], failed[hit] + 1, stop[hit] - window + 1))
         end[check] = np.minimum(stop - 1, failed + window)

@@ -1,8 +1,9 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths are compared within each document in
-numpy; what share of a document's characters lies inside n-grams that occur
-more than once, or inside repeated lines, decides.
+numpy, and n-grams of equal hashes word by word; what share of a document's
+characters lies inside n-grams that occur more than once, or inside repeated
+lines, decides.
 
 Edge cases: a null text counts as empty (no words, so it fails the base rule);
 null doc_ids and repeated rows pass through, one result a row; other columns
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, IS_SPACE, Spans, mix, read, slices, utf8, window_hash, words
+from .common import IS_SPACE, ODD, distinct_numbers, in_worker, mix, read, slices, utf8, words
 
 #: Most of a document's word characters that may lie in n-grams found twice or more, by n.
 MOST_IN_NGRAMS = {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
@@ -29,14 +30,17 @@ SCHEMA = (
 )
 
 
-def _repeated(key: np.ndarray) -> np.ndarray:
-    """Which elements have an equal one."""
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    out = np.zeros(len(key), bool)
-    out[order[1:]] = same
-    out[order[:-1]] |= same
-    return out
+def _repeated(key: np.ndarray, at: np.ndarray, n: int, word: np.ndarray) -> np.ndarray:
+    """The places ``at`` whose n words also stand at another place; ``key`` is a hash of those."""
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    a, b = at[order[same]], at[order[same + 1]]
+    for i in range(n):
+        equal = word[a + i] == word[b + i]
+        a, b = a[equal], b[equal]
+    out = np.zeros(len(word), bool)
+    out[a] = out[b] = True
+    return np.flatnonzero(out)
 
 
 def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -47,14 +51,13 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     solid = ~IS_SPACE[raw]
     symbol = np.zeros(256, bool)
     symbol[list(b"#*$%&|<>")] = True
-    spans = Spans(BYTE_VALUE[raw])
     start, end, first = words(raw, at)
     n_words = np.diff(first)
     doc = np.repeat(np.arange(n_docs), n_words)
     chars = np.concatenate([[0], np.cumsum(leads, dtype=np.int64)])
     length = chars[end] - chars[start]
-    salt = mix(np.arange(1, n_docs + 1, dtype=np.uint64))
-    word = spans.hash(start, end)
+    # Words have numbers, and equal words of two documents different ones.
+    word = distinct_numbers(raw, solid, end - start) + doc * (np.int64(len(start)) + 1)
     out = {
         "doc_id": batch.column("doc_id").cast(pa.int64()),
         "n_words": n_words,
@@ -76,21 +79,29 @@ def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     line_start, line_end = line_start[has_word], line_end[has_word]
     line_doc = np.searchsorted(at, line_start, "right") - 1
     line_chars = chars[line_end] - chars[line_start]
-    key = spans.hash(line_start, line_end) ^ salt[line_doc] if len(line_start) else np.zeros(0, np.uint64)
-    order = np.argsort(key, kind="stable")
-    later = np.zeros(len(key), bool)
-    later[order[1:]] = key[order][1:] == key[order][:-1]
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[line_start] += 1
+    edge[line_end] -= 1
+    line = distinct_numbers(raw, np.cumsum(edge[:-1], dtype=np.int8) > 0, line_end - line_start) + line_doc * (np.int64(len(line_start)) + 1)
+    order = np.argsort(line, kind="stable")
+    later = np.zeros(len(line), bool)
+    later[order[1:]] = line[order][1:] == line[order][:-1]
     count = lambda ids, weight: np.bincount(ids, weight, n_docs).astype(np.int64)
     out["n_dup_lines"] = count(line_doc[later], np.ones(int(later.sum())))
     out["line_chars"] = count(line_doc, line_chars)
     out["dup_line_chars"] = count(line_doc[later], line_chars[later])
 
+    rolling = value = mix(word.astype(np.uint64) * ODD + np.uint64(1))
+    width = 1
     for n in MOST_IN_NGRAMS:
-        key = window_hash(word, n)
+        # One more word a step.
+        while width < n and len(rolling) > 1:
+            rolling = mix(rolling[:-1] * ODD + value[width:])
+            width += 1
         covered = np.zeros(len(word) + 1, np.int32)
-        if len(key):
-            whole = np.flatnonzero(doc[: len(key)] == doc[n - 1 :])
-            twice = whole[_repeated(key[whole] ^ salt[doc[whole]])]
+        if width == n and len(word) >= n:
+            whole = np.flatnonzero(doc[: len(rolling)] == doc[n - 1 :])
+            twice = _repeated(rolling[whole], whole, n, word)
             covered[twice] += 1
             covered[twice + n] -= 1
         inside = np.cumsum(covered[:-1]) > 0
@@ -109,7 +120,7 @@ def repetition_coverage(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 yield measure(part)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(in_worker(run), SCHEMA)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     over = F.col("dup_line_chars") > MOST_IN_LINES * F.col("line_chars")
     for n, most in MOST_IN_NGRAMS.items():

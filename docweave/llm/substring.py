@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUE, Spans, doc_key, read, slices, stored, utf8, window_hash, words
+from .common import IS_SPACE, ODD, discard, distinct_numbers, doc_key, every_column, in_worker, mix, read, slices, span_hash, stored, utf8, window_hash, words
 from .fm_index import FMIndex, repeated_windows
 
 WINDOW = 35
@@ -53,7 +53,7 @@ def segments(batch: pa.RecordBatch, window: int, full: bool) -> pa.RecordBatch |
     start, end, first = words(raw, at)
     if len(start) < window:
         return None
-    value = Spans(BYTE_VALUE[raw]).hash(start, end)
+    value = span_hash(raw, start, end)
     gram = min(ANCHOR, window)
     # The leftmost place of the smallest hash in each window, so that equal windows of a document are never in one run.
     gram_hash = window_hash(value, gram)
@@ -67,7 +67,9 @@ def segments(batch: pa.RecordBatch, window: int, full: bool) -> pa.RecordBatch |
     anchor = pa.array(gram_hash[least[begin]].view(np.int64))
     if not full:
         return pa.RecordBatch.from_arrays([anchor], names=["anchor"])
-    content = Spans(value).hash(begin, begin + count + window - 1).view(np.int64)
+    # The first and the last window of a segment cover it.
+    whole_hash = window_hash(value, window)
+    content = mix(mix(whole_hash[begin] * ODD + whole_hash[begin + count - 1]) ^ count.astype(np.uint64)).view(np.int64)
     own = pa.array(doc[begin])
     return pa.RecordBatch.from_arrays(
         [batch.column("k1").take(own), batch.column("k2").take(own), pa.array((begin - first[doc[begin]]).astype(np.int32)), pa.array(count.astype(np.int32)), anchor, pa.array(content)],
@@ -83,13 +85,12 @@ def _all_segments(docs: DataFrame, window: int, full: bool) -> DataFrame:
                     yield got
 
     if not full:
-        return docs.select("text").mapInArrow(run, "anchor long")
-    return docs.mapInArrow(run, "k1 long, k2 long, start int, n int, anchor long, content long")
+        return docs.select("text").mapInArrow(in_worker(run), "anchor long")
+    return docs.mapInArrow(in_worker(run), "k1 long, k2 long, start int, n int, anchor long, content long")
 
 
 def _extracted(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """The words of the chosen segments, or of each of their windows where they are hot."""
-    # Stored, as are the other small sides of joins here, so that a key with very many rows can be split over tasks.
     lists = stored(chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "content", "copies", "hot")).alias("s")), "lists")
 
     def run(batches):
@@ -112,22 +113,27 @@ def _extracted(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), pa.array(list(cols[6]), pa.binary()).cast(pa.string())], names=["anchor", "content", "offset", "n", "copies", "route", "words"])
 
-    return docs.join(lists, ["k1", "k2"]).select("text", "s").mapInArrow(run, "anchor long, content long, offset int, n int, copies long, route long, words string")
+    found = docs.join(lists, ["k1", "k2"]).select("text", "s").mapInArrow(in_worker(run), "anchor long, content long, offset int, n int, copies long, route long, words string")
+    found = stored(found, "segments")
+    discard(lists)
+    return found
 
 
 def search_shard(parts: list[pa.RecordBatch], window: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """Index all segments of a shard, then stream them through it: their rows and the windows that repeat."""
     table = pa.Table.from_batches(parts)
     # Repeated rows of a document extract the same segment again.
-    seen = np.stack([table.column(c).to_numpy() for c in ("route", "anchor", "content", "offset")], 1)
-    _, once = np.unique(seen, axis=0, return_index=True)
-    table = table.take(pa.array(once))
+    seen = [table.column(c).to_numpy() for c in ("route", "anchor", "content", "offset")]
+    order = np.lexsort(seen)
+    once = np.ones(len(order), bool)
+    once[1:] = np.any([c[order][1:] != c[order][:-1] for c in seen], axis=0)
+    table = table.take(pa.array(order[once]))
     raw, at = utf8(table.column("words"))
     start, end, first = words(raw, at)
     lengths = np.diff(first)
-    _, ids = np.unique(Spans(BYTE_VALUE[raw]).hash(start, end), return_inverse=True)
-    index = FMIndex(ids + 1, lengths, table.column("copies").to_numpy())
-    row, lo, hi = repeated_windows(index, lengths, window)
+    numbers = distinct_numbers(raw, ~IS_SPACE[raw], end - start).astype(np.int64) + 1
+    index = FMIndex(numbers, lengths, table.column("copies").to_numpy() > 1)
+    row, lo, hi = repeated_windows(index, numbers, lengths, window)
     return table, row, lo, hi
 
 
@@ -141,7 +147,7 @@ def _searched(found: DataFrame, shards: int, window: int) -> DataFrame:
         out = own.append_column("lo", pa.array(lo.astype(np.int32))).append_column("hi", pa.array(hi.astype(np.int32)))
         yield from out.to_batches(max_chunksize=100_000)
 
-    return found.repartition(shards, "route").mapInArrow(run, "anchor long, content long, lo int, hi int")
+    return found.repartition(shards, "route").mapInArrow(in_worker(run), "anchor long, content long, lo int, hi int")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -149,27 +155,33 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``docs`` has k1, k2 (see ``doc_key``) and text.
     """
+    # Small sides of joins are stored here, so that a key with very many rows can be split over tasks.
     repeated = stored(_all_segments(docs, window, False).groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     candidates = stored(_all_segments(docs, window, True).join(repeated, "anchor"), "candidates")
     chosen = candidates.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
     chosen = stored(chosen.select("anchor", "content", "copies", "at.*"), "chosen")
-    hot = chosen.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    chosen = chosen.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    found = stored(_extracted(docs, chosen, window), "segments")
+    hot = stored(chosen.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    found = _extracted(docs, chosen.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), window)
+    discard(repeated, chosen, hot)
     dealt = F.col("route") == F.col("anchor")
     size = found.agg(F.sum(F.when(dealt, F.col("n") + window - 1)), F.sum(F.when(dealt, 0).otherwise(window))).first()
     shards = [max(1, -(-(x or 0) // SHARD_WORDS)) for x in size]
     result = _searched(found.where(dealt), shards[0], window)
+    again = None
     if size[1]:
         # Equal windows of hot segments are one row, with their number, before they meet.
         apart = found.where(~dealt).dropDuplicates(["anchor", "content", "offset"])
         summed = apart.groupBy("route", "words").agg(F.sum("copies").alias("copies"))
         summed = summed.select(F.col("route").alias("anchor"), F.xxhash64("words").alias("content"), F.lit(0).alias("offset"), F.lit(1).alias("n"), "copies", "route", "words")
-        again = _searched(summed, shards[1], window).select(F.col("anchor").alias("route"), F.col("content").alias("of"))
-        back = apart.withColumn("of", F.xxhash64("words")).join(stored(again, "hot"), ["route", "of"])
+        again = stored(_searched(summed, shards[1], window).select(F.col("anchor").alias("route"), F.col("content").alias("of")), "again")
+        back = apart.withColumn("of", F.xxhash64("words")).join(again, ["route", "of"])
         result = result.union(back.select("anchor", "content", F.col("offset").alias("lo"), (F.col("offset") + 1).alias("hi")))
-    spans = candidates.join(stored(result, "repeats"), ["anchor", "content"]).select("k1", "k2", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + window - 1).alias("hi")).alias("span"))
-    return stored(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
+    result = stored(result, "repeats")
+    discard(found, *([again] if again else []))
+    spans = candidates.join(result, ["anchor", "content"]).select("k1", "k2", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + window - 1).alias("hi")).alias("span"))
+    spans = stored(spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(candidates, result)
+    return spans
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:
@@ -203,7 +215,7 @@ def word_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_spans(docs, window, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs, window, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(in_worker(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -227,10 +239,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    others = [c for c in docs.columns if c != "text"]
-    rows = _with_spans(docs, window, F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    named = [x.alias(others[c]) for c, x in zip(docs.columns, every_column(docs), strict=True) if c != "text"]
+    rows = _with_spans(docs, window, F.struct(F.lit(0).alias("none"), *named).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType())])
-    return rows.mapInArrow(run, schema).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return rows.mapInArrow(in_worker(run), schema).select(*(F.col("text") if c == "text" else F.col("row")[others[c]].alias(c) for c in docs.columns))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, read, slices, utf8
+from .common import in_worker, process_cache, read, slices, utf8
 
 LIMIT = 4096
 #: Distinct pre-tokens whose counts a Python worker remembers.
@@ -173,16 +173,17 @@ class Counter:
 
 def token_counts(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row of ``docs`` (doc_id, text)."""
+    name = f"counts {model}"
 
     def run(batches):
-        counter = process_cache(f"counts {model}", lambda: Counter(model))
+        counter = process_cache(name, lambda: Counter(model))
         for batch in batches:
             for part in slices(batch, "text"):
                 _, at = utf8(part.column("text"))
                 n = np.array(counter.of([(t or "").encode() for t in part.column("text").to_pylist()]), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(in_worker(run, name), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
