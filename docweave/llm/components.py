@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,17 +28,26 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
+def _with_least(edges: DataFrame, least: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``edges`` joined with the ``least`` of their u, which is stored first, so that a node with very many edges can be split over tasks."""
+    least = stored(least, name)
+    return edges.join(least, "u"), least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    joined, least = _with_least(both.where("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    found = stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+    discard(least)
+    return found
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+    joined, least = _with_least(down, down.groupBy("u").agg(F.min("v").alias("m")), "least")
+    found = stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    discard(least)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,13 +55,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns u and v. Every round writes its edges to the
     shared folder, so lineage stays short and nothing of it reaches the driver
-    but a row count and a checksum.
+    but a row count and a checksum; tables of earlier rounds are deleted.
     """
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     edges = stored(edges.where("u <> v"), "edges")
     before = mark(edges)
     while before[0]:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        large = _large_star(edges)
+        small = _small_star(large)
+        discard(edges, large)
+        edges = small
         now = mark(edges)
         if now == before:
             break

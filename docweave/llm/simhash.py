@@ -4,9 +4,10 @@ Each 64-bit fingerprint maps to the bit counts of its 2-bit segments. The
 Manhattan distance of two count vectors is a lower bound of the Hamming
 distance, so fingerprints within ``distance`` bits agree in the counts of all
 but ``distance`` of any blocks of segments. Each choice of the blocks that agree
-is a grid over the count vectors; fingerprints meet in its cells, are cut down
-by the Manhattan bound and verified bit by bit. Links become connected
-components, and only links that connect something new leave a task.
+is a grid over the count vectors; fingerprints meet in its cells, are cut down by
+the Manhattan bound and verified bit by bit. Cells with very many members are dealt
+anew by grids over the bits themselves. Links become connected components, and
+only links that connect something new leave a task.
 
 Edge cases: a null text has no words, and a text without words has fingerprint
 zero and links like any other; a text with fewer words than a shingle is one
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, mix, read, slices, stored
+from .common import discard, in_worker, mix, read, slices, stored
 from .components import components, local_stars
 
 SEED = 42
@@ -36,6 +37,8 @@ PAIRS = np.uint64(0x5555555555555555)
 TASK_ROWS = 400_000
 #: Cells up to this size compare all members at once; larger ones only what may still connect.
 SMALL_CELL = 32
+#: Cells with more members than this are dealt anew.
+HOT_CELL = 5_000
 
 # For each byte value a 64-bit word whose bytes are its bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -89,7 +92,7 @@ def fingerprints(docs: DataFrame, words: int, keep: tuple = ()) -> DataFrame:
                 fp = fingerprint_of([(t or "").encode() for t in part.column("text").to_pylist()], words)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(fp.view(np.int64))], names=[*kept, "fp"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(in_worker(run), schema)
 
 
 def unary(fp: np.ndarray) -> np.ndarray:
@@ -103,20 +106,20 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << 2 * b) - 1) ^ ((1 << 2 * a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def n_blocks(n: int, distance: int) -> int:
+def n_blocks(n: int, distance: int, agree: float = 3 / 8) -> int:
     """How many blocks make the rows of the grids and the comparisons in their cells cheapest; results don't depend on it.
 
-    Two random counts of a segment agree with probability 3/8.
+    Two random counts of a segment ``agree`` with probability 3/8, the bits of segments of equal counts with 1/2 at least.
     """
-    cost = lambda m: comb(m, distance) * (n + n * n / 2 * 0.375 ** (SEGMENTS * (m - distance) / m) / 50)
+    cost = lambda m: comb(m, distance) * (n + n * n / 2 * agree ** (SEGMENTS * (m - distance) / m) / 50)
     return min(range(distance + 2, 2 * distance + 5), key=cost)
 
 
 def cell_links(key: np.ndarray, fp: np.ndarray, grid: np.ndarray, masks: list[int], choices: list[tuple], distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the cells, enough to connect what is connected.
 
-    A link counts only in the first grid in which its ends meet. What a cell
-    leaves out is connected by links of earlier grids, by induction.
+    With ``choices`` a link counts only in the first grid in which its ends meet.
+    What a cell leaves out is connected by links of earlier grids, by induction.
     """
     code = unary(fp)
     order = np.lexsort((fp, key))
@@ -126,7 +129,7 @@ def cell_links(key: np.ndarray, fp: np.ndarray, grid: np.ndarray, masks: list[in
     right: list[np.ndarray] = []
     block = [np.uint64(m) for m in masks]
     rank = {c: i for i, c in enumerate(choices)}
-    need = len(choices[0])
+    need = len(choices[0]) if choices else 0
 
     def near(a, b):
         """Manhattan bound, then bits."""
@@ -136,7 +139,9 @@ def cell_links(key: np.ndarray, fp: np.ndarray, grid: np.ndarray, masks: list[in
         return a[hit], b[hit]
 
     def take(a, b):
-        if not len(a):
+        if not len(a) or not choices:
+            left.append(fp[a])
+            right.append(fp[b])
             return
         differ = code[a] ^ code[b]
         agree = np.stack([(differ & m) == 0 for m in block], 1)
@@ -187,24 +192,27 @@ def cell_links(key: np.ndarray, fp: np.ndarray, grid: np.ndarray, masks: list[in
     return np.concatenate(left), np.concatenate(right)
 
 
-def links(classes: DataFrame, n: int, distance: int) -> DataFrame:
-    """(u, v): links that connect the fingerprints ``fp`` within ``distance`` bits; ``n`` is their number."""
-    blocks = n_blocks(max(n, 2), distance)
-    masks = block_masks(blocks)
-    choices = list(combinations(range(blocks), blocks - distance))
-    grids = np.array([sum(masks[j] for j in c) for c in choices], np.uint64)
+def _to_cells(masks: list[int], distance: int, counts: bool):
+    """For mapInArrow: (key, fp, grid) of every cell that a fingerprint lies in, by its counts or, within a cell ``of``, by its bits."""
+    grids = np.array([sum(c) for c in combinations(masks, len(masks) - distance)], np.uint64)
 
-    def to_cells(batches):
+    def run(batches):
         for batch in batches:
-            whole = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, len(whole), 20_000):
-                fp = whole[lo : lo + 20_000]
-                with np.errstate(over="ignore"):
-                    key = mix((unary(fp)[:, None] & grids) ^ mix(np.arange(1, len(grids) + 1, dtype=np.uint64)))
+            every = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            of = np.zeros(len(every), np.uint64) if counts else batch.column("of").to_numpy(zero_copy_only=False).view(np.uint64)
+            for lo in range(0, len(every), 20_000):
+                fp = every[lo : lo + 20_000]
+                key = mix(((unary(fp) if counts else fp)[:, None] & grids) ^ mix(of[lo : lo + 20_000, None] + np.arange(1, len(grids) + 1, dtype=np.uint64)))
                 grid = np.broadcast_to(np.arange(len(grids), dtype=np.int16), key.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, len(grids)).view(np.int64)), pa.array(grid.ravel())], names=["key", "fp", "grid"])
 
-    def in_cells(batches):
+    return in_worker(run)
+
+
+def _in_cells(masks: list[int], choices: list[tuple], distance: int):
+    """For mapInArrow: the links of the cells of a task."""
+
+    def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
@@ -214,19 +222,27 @@ def links(classes: DataFrame, n: int, distance: int) -> DataFrame:
             a, b = local_stars(a.view(np.int64), b.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
-    cells = classes.select("fp").mapInArrow(to_cells, "key long, fp long, grid short")
-    tasks = max(1, -(-n * len(choices) // TASK_ROWS))
-    return cells.repartition(tasks, "key").mapInArrow(in_cells, "u long, v long")
+    return in_worker(run)
 
 
-def _grouped(docs: DataFrame, words: int, distance: int, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """Every row's ``keep`` columns and ``fp``; and for every fp its component's ``root`` fp and ``component_id``."""
-    docs = stored(fingerprints(docs, words, keep), "fingerprints")
-    classes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(links(classes, classes.count(), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    name = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs, stored(rooted.join(name, "root").select("fp", "root", "component_id"), "named")
+def links(classes: DataFrame, n: int, distance: int, hot_cell: int = HOT_CELL) -> DataFrame:
+    """(u, v): links that connect the fingerprints ``fp`` within ``distance`` bits; ``n`` is their number."""
+    blocks = n_blocks(max(n, 2), distance)
+    masks, choices = block_masks(blocks), list(combinations(range(blocks), blocks - distance))
+    schema = "key long, fp long, grid short"
+    cells = classes.select("fp").mapInArrow(_to_cells(masks, distance, True), schema)
+    tasks = max(1, -(-n * len(choices) // TASK_ROWS))
+    hot = stored(cells.groupBy("key").count().where(F.col("count") > hot_cell).select("key"), "hot")
+    if not hot.count():
+        return cells.repartition(tasks, "key").mapInArrow(_in_cells(masks, choices, distance), "u long, v long")
+    found = cells.join(hot, "key", "left_anti").repartition(tasks, "key").mapInArrow(_in_cells(masks, choices, distance), "u long, v long")
+    members = stored(cells.join(hot, "key").select(F.col("key").alias("of"), "fp"), "members")
+    many = members.count()
+    blocks = n_blocks(many, distance, 1 / 2)
+    masks = block_masks(blocks)
+    tasks = max(1, -(-many * comb(blocks, distance) // TASK_ROWS))
+    anew = members.mapInArrow(_to_cells(masks, distance, False), schema).repartition(tasks, "key")
+    return found.union(anew.mapInArrow(_in_cells(masks, [], distance), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
@@ -235,19 +251,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataF
     Components are of all fingerprints that link at ``distance`` or fewer
     differing bits; their name is the smallest doc_id in them.
     """
-    rows, named = _grouped(docs, words, distance)
+    rows = stored(fingerprints(docs, words), "fingerprints")
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = components(links(classes, classes.count(), distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    rooted = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    name = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(rooted.join(name, "root").select("fp", "component_id"), "named")
+    discard(classes)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
-    """One row of each component of ``docs``, all columns: that of its smallest doc_id."""
-    keys = doc_key()
-    rows, named = _grouped(docs, words, distance, (F.col("doc_id").cast("long").alias("doc_id"), *keys))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first")
-    kept = stored(rows.join(named, "fp").groupBy("root").agg(first).select("first.k1", "first.k2"), "kept")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *keys)
-    return whole.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=4, distance=4)
