@@ -25,14 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, read, slices, stored
+from .common import IS_SPACE, in_worker, process_cache, read, slices, stored, utf8, words
 
 LENGTH = 4096
 END_ID = 1
+#: How much the residual tokens, documents and attention cost of a sequence count when a piece chooses among those with room.
+WEIGHTS = (1.0, 1.0, 1.0)
 #: Pieces in a shard. A shard wastes at most part of its last few sequences.
 SHARD_PIECES = 40_000
-#: Distinct words, and pre-tokens, whose ids a Python worker remembers.
-MOST_WORDS = 800_000
+#: Distinct words of a generation, two of which a Python worker remembers; and the bytes of text that it reads at once, about.
+MOST_WORDS = 250_000
+SLICE = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,13 +43,51 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Letters whose lower case is not the same everywhere, and signs that end most words.
 ODD = re.compile("[\u0130\u03a3]")
 SIGNS = frozenset(".,!?;:")
+IS_SIGN, IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+IS_SIGN[list(b".,!?;:")] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_LETTER[65:91] = IS_LETTER[97:123] = True
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable character that byte-level vocabularies use for each byte beyond ASCII: itself, or the next one from 256 on."""
+def byte_letters() -> str:
+    """The printable character that byte-level vocabularies use for each byte, ASCII as it is: itself, or the next one from 256 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in own]
-    return {b: chr(256 + others.index(b)) if b in others else chr(b) for b in range(0x80, 0x100)}
+    return "".join(chr(256 + others.index(b)) if b >= 0x80 and b in others else chr(b) for b in range(256))
+
+
+def plain_letters(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 belong to letters of ASCII or Latin-1, and the bytes with those letters in lower case."""
+    letter, lower = IS_LETTER[raw], LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] & 0x9F) != 0x97]  # neither of the two signs among the letters
+    letter[lead] = letter[lead + 1] = True
+    capital = lead[raw[lead + 1] <= 0x9E]
+    lower[capital + 1] |= 0x20
+    return letter, lower
+
+
+class Known:
+    """Ids of words: each word's row, and the rows' ids in one flat array."""
+
+    def __init__(self):
+        self.rows: dict[bytes, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.at = np.zeros(1, np.int64)
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.rows)
+        self.rows.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one row after another, and how many each has."""
+        start = self.at[rows]
+        sizes = self.at[rows + 1] - start
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(start - ends + sizes, sizes) + np.arange(sizes.sum())], sizes
 
 
 class WordIds:
@@ -54,9 +95,12 @@ class WordIds:
 
     The tokenizer lower-cases, splits at white space and by a pattern, and
     merges within the pre-tokens so found; so a text's ids are those of its
-    words' pre-tokens in turn. New pre-tokens go to its merges alone, many at a
-    time. Words with letters or signs that libraries may treat differently, and
-    texts that may hold a special token's string, go to the tokenizer whole.
+    words in turn. Words of Latin-1 letters, with a sign behind or without, are
+    lower-cased and cut as arrays; each distinct rest is split once, and all
+    new pre-tokens go to the tokenizer's merges, many at a time. Words with
+    letters or signs that libraries may treat differently, and texts that may
+    hold a special token's string, go to the tokenizer whole. Two generations
+    of words are remembered, so that frequent ones stay.
     """
 
     def __init__(self, path: str):
@@ -72,12 +116,12 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.encode = getattr(self.merges, "encode_batch_fast", self.merges.encode_batch)
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith("</w>")]] = True
         self.split = regex.compile(split["pattern"]["Regex"]).findall
         self.letters = byte_letters()
-        self.seen: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.new, self.old = Known(), Known()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -94,32 +138,92 @@ class WordIds:
             return [text[:-1], text[-1]]
         return self.split(text) if text.isprintable() else None
 
-    def learn(self, new: list[bytes]) -> None:
-        """Remember the ids of words."""
-        if len(self.pieces) > MOST_WORDS:
-            self.pieces.clear()
-        split = [self.parts(w) for w in new]
-        missing = list({p for s in split if s for p in s if p not in self.pieces})
-        for lo in range(0, len(missing), 2_000):
-            some = missing[lo : lo + 2_000]
-            ids = np.array(self.merges.encode(" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in some]), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            packed, start = ids.tobytes(), 0
-            for piece, end in zip(some, ends, strict=True):
-                self.pieces[piece] = packed[start:end]
-                start = end
-        look = self.pieces.__getitem__
-        for word, s in zip(new, split, strict=True):
-            self.seen[word] = self.ids(word.decode()).tobytes() if s is None else look(s[0]) if len(s) == 1 else b"".join(map(look, s))
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
-        split = [None if any(s in t for s in self.special) else t.split() for t in texts]
-        if len(self.seen) > MOST_WORDS:
-            self.seen.clear()
-        self.learn(list(set().union(*filter(None, split)).difference(self.seen)))
-        look = self.seen.__getitem__
-        return [self.ids(t.decode()).tobytes() if s is None else b"".join(map(look, s)) for t, s in zip(texts, split, strict=True)]
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has."""
+        found = [np.zeros(0, "<u4")]
+        for lo in range(0, len(pieces), 2_000):
+            text = " ".join(pieces[lo : lo + 2_000])
+            text = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            found.append(np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(found)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has."""
+        number: dict[str, int] = {}
+        odd: list[np.ndarray] = []
+        asked: list[int] = []
+        counts = []
+        for word in words:
+            split = self.parts(word)
+            if split is None:
+                odd.append(self.ids(word.decode()))
+                asked.append(-len(odd))
+                counts.append(1)
+            else:
+                asked += [number.setdefault(p, len(number)) for p in split]
+                counts.append(len(split))
+        ids, sizes = self.merged(list(number))
+        every = Known()
+        every.ids = np.concatenate([ids, *odd])
+        every.at = np.concatenate([[0], np.cumsum(np.concatenate([sizes, np.array([len(x) for x in odd], np.int64)]))])
+        rows = np.array(asked, np.int64)
+        ids, sizes = every.of(np.where(rows < 0, len(number) - 1 - rows, rows))
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])])
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The row of each of the distinct ``words`` in ``new``."""
+        if len(self.new.rows) > MOST_WORDS:
+            self.new, self.old = Known(), self.new
+        look = lambda known, some: np.fromiter((known.rows.get(w, -1) for w in some), np.int64, len(some))
+        found = look(self.new, words)
+        missing = [words[i] for i in np.flatnonzero(found < 0).tolist()]
+        if missing:
+            before = look(self.old, missing)
+            again = [missing[i] for i in np.flatnonzero(before >= 0).tolist()]
+            unknown = [missing[i] for i in np.flatnonzero(before < 0).tolist()]
+            self.new.add(again, *self.old.of(before[before >= 0]))
+            self.new.add(unknown, *self.learn(unknown))
+            found[found < 0] = look(self.new, missing)
+        return found
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and where each text's begin and end; null reads as empty."""
+        raw, at = utf8(column)
+        whole = {}
+        blob = raw.tobytes()
+        if any(s in blob for s in self.special):
+            texts = [blob[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            whole = {i: self.ids(t.decode()) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        start, end, first = words(raw, at)
+        letter, lower = plain_letters(raw)
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        n_others = others[end] - others[start]
+        signed = (n_others == 1) & IS_SIGN[raw[end - 1]] & (end - start > 1)
+        # Words that aren't letters alone keep their capitals.
+        edge = np.zeros(len(raw) + 1, np.int8)
+        kept = (n_others > 0) & ~signed
+        edge[start[kept]] += 1
+        edge[end[kept]] -= 1
+        lower = np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, raw, lower)[~IS_SPACE[raw]]
+        # A signed word is two tokens.
+        place = np.arange(len(start)) + np.cumsum(signed)
+        size = np.empty(len(start) + int(signed.sum()), np.int64)
+        size[place] = np.where(signed, 1, end - start)
+        size[place[signed] - 1] = (end - start)[signed] - 1
+        token_first = np.concatenate([[0], np.cumsum(signed)])[first] + first
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        tokens = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(lower)]).dictionary_encode()
+        ids, sizes = self.new_ids(tokens)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[token_first]
+        if whole:
+            own = [whole.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(at) - 1)]
+            ids, bounds = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        return ids, bounds
+
+    def new_ids(self, tokens: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.rows(tokens.dictionary.to_pylist())
+        return self.new.of(rows[tokens.indices.to_numpy()])
 
 
 def tokenizer_path(name: str) -> str:
@@ -130,30 +234,37 @@ def tokenizer_path(name: str) -> str:
 
 def to_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Rows of PIECES: every document's ids and end id, cut where longer than ``length``."""
-    end = int(end_id).to_bytes(4, "little")
+    name = f"ids {tokenizer}"
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = process_cache(f"ids {tokenizer}", lambda: WordIds(tokenizer))
+        ids_of = process_cache(name, lambda: WordIds(tokenizer))
         for batch in batches:
-            for part in slices(batch, "text"):
-                cols: list[list] = [[], [], [], [], []]
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.of(texts), strict=True):
-                    ids += end
-                    for piece, lo in enumerate(range(0, len(ids), 4 * length)):
-                        own = ids[lo : lo + 4 * length]
-                        for col, x in zip(cols, (doc_id, piece, lo // 4, len(own) // 4, zlib.crc32(own)), strict=True):
-                            col.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
-
-
-def best_fit(items: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> np.ndarray:
+            for part in slices(batch, "text", SLICE):
+                ids, at = ids_of.of(part.column("text"))
+                n = part.num_rows
+                at = at + np.arange(n + 1)
+                every = np.full(at[-1], end_id, "<u4")
+                own = np.ones(len(every), bool)
+                own[at[1:] - 1] = False
+                every[own] = ids
+                size = np.diff(at)
+                pieces = -(-size // length)
+                doc = np.repeat(np.arange(n), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                lo = at[doc] + piece * length
+                hi = np.minimum(lo + length, at[doc + 1])
+                view = memoryview(every).cast("B")
+                crc = [zlib.crc32(view[a:b]) for a, b in zip((4 * lo).tolist(), (4 * hi).tolist(), strict=True)]
+                columns = [part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(hi - lo), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(in_worker(run, name), PIECES)
+
+
+def best_fit(items: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "dot") -> np.ndarray:
     """Bin of each item (n x dimensions, largest first by the first dimension).
 
     ``norm``: the feasible open bin with the smallest weighted squared residual
@@ -164,37 +275,39 @@ def best_fit(items: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule:
     n, dims = items.shape
     scale = 1.0 / capacity
     out = np.empty(n, np.int64)
-    residual = np.empty((1024, dims))
+    residual = np.empty((dims, 1024))
     ids = np.empty(1024, np.int64)
     n_open = n_bins = 0
     # What later items need at least, in each dimension: bins with less are closed.
     least = np.minimum.accumulate(items[::-1], axis=0)[::-1]
-    for i in range(n):
-        item = items[i]
+    for i, item in enumerate(items.tolist()):
         if i % 256 == 0 and n_open:
-            keep = (residual[:n_open] >= least[i]).all(axis=1)
-            m = int(keep.sum())
-            residual[:m], ids[:m], n_open = residual[:n_open][keep], ids[:n_open][keep], m
-        best = -1
-        if n_open:
-            fits = np.flatnonzero((residual[:n_open, 0] >= item[0]) & (residual[:n_open, 1:] >= item[1:]).all(axis=1))
-            if len(fits):
-                after = (residual[fits] - item) * scale
-                norm = (after * after) @ weights
-                if rule == "dot":
-                    own, want = residual[fits] * scale, item * scale
-                    cosine = (own * want) @ weights / np.sqrt(((own * own) @ weights) * ((want * want) @ weights) + 1e-300)
-                    best = int(fits[np.lexsort((norm, -np.round(cosine, 9)))[0]])
-                else:
-                    best = int(fits[np.argmin(norm)])
-        if best < 0:
+            keep = np.flatnonzero((residual[:, :n_open] >= least[i][:, None]).all(axis=0))
+            n_open = len(keep)
+            residual[:, :n_open], ids[:n_open] = residual[:, keep], ids[keep]
+        fits = residual[0, :n_open] >= item[0]
+        for d in range(1, dims):
+            fits &= residual[d, :n_open] >= item[d]
+        fits = np.flatnonzero(fits)
+        if len(fits) and rule == "dot":
+            own, want = residual[:, fits] * scale[:, None], np.array(item) * scale
+            cosine = np.round((weights * want) @ own / np.sqrt((weights @ (own * own)) * (weights @ (want * want)) + 1e-300), 9)
+            fits = fits[cosine == cosine.max()]
+        if len(fits):
+            best = fits[0]
+            if len(fits) > 1:
+                norm = np.zeros(len(fits))
+                for d in range(dims):
+                    norm += weights[d] * ((residual[d, fits] - item[d]) * scale[d]) ** 2
+                best = fits[norm.argmin()]
+        else:
             if n_open == len(ids):
-                residual = np.concatenate([residual, np.empty_like(residual)])
+                residual = np.concatenate([residual, np.empty_like(residual)], axis=1)
                 ids = np.concatenate([ids, np.empty_like(ids)])
             best = n_open
-            residual[best], ids[best] = capacity, n_bins
+            residual[:, best], ids[best] = capacity, n_bins
             n_open, n_bins = n_open + 1, n_bins + 1
-        residual[best] -= item
+        residual[:, best] -= item
         out[i] = ids[best]
     return out
 
@@ -204,17 +317,18 @@ def pack(
     length: int = LENGTH,
     max_docs: int | None = None,
     max_attention: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
-    rule: str = "norm",
+    weights: tuple[float, float, float] = WEIGHTS,
+    rule: str = "dot",
     shard_pieces: int = SHARD_PIECES,
 ) -> DataFrame:
     """PIECES plus ``sequence_id`` and a gapless ``offset`` in each sequence.
 
     A sequence holds at most ``length`` tokens, ``max_docs`` pieces and
-    ``max_attention`` of summed squared lengths; the defaults of the last two
-    are what ``length`` tokens can reach, so that they never bind. The shards
-    are even, whatever the keys, and each is packed in one task of
-    ``shard_pieces`` small rows.
+    ``max_attention`` of summed squared lengths. The defaults of the last two
+    are what ``length`` tokens can reach: they turn no piece away, so that a
+    corpus needs no more sequences than its tokens do, but what is left of them
+    takes part in choosing the sequence. The shards are even, whatever the keys,
+    and each is packed in one task of ``shard_pieces`` small rows.
     """
     capacity = np.array([length, max_docs or length, max_attention or float(length) ** 2], float)
     pieces = stored(pieces, "pieces")
@@ -244,7 +358,7 @@ def pack(
         x["doc_id"] = x["doc_id"].astype("Int64")
         yield from pa.Table.from_pandas(x, preserve_index=False).to_batches(max_chunksize=10_000)
 
-    return pieces.repartition(shards).mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return pieces.repartition(shards).mapInArrow(in_worker(run), PIECES + ", sequence_id long, offset long")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
