@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, read, stored
+from .common import discard, doc_key, every_column, read, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -45,24 +45,38 @@ def keyed(docs: DataFrame, *extra: Column) -> DataFrame:
     return docs.select(*extra, src.alias("src"), size_of(F.col("text").cast("string")).alias("size"), F.xxhash64(k1, k2).alias("class"))
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """``sources`` as a table with their ``place`` by code point, null last, from 0; sorted in ranges, so that any number will do."""
+    by = (F.col("src") == "-").cast("int")
+    x = sources.withColumn("last", by).repartitionByRange("last", "src").sortWithinPartitions("last", "src").withColumn("at", F.monotonically_increasing_id())
+    x = stored(x.drop("last"), "ranked")
+    part = F.shiftright("at", 33)
+    # One row a range.
+    sizes = sorted((r[0], r[1]) for r in x.groupBy(part.alias("part")).count().collect())
+    before = F.create_map(*(F.lit(v).cast("long") for i, (p, _) in enumerate(sizes) for v in (p, sum(n for _, n in sizes[:i])))) if sizes else None
+    return x.withColumn("place", F.col("at") - F.shiftleft(part, 33) + (before[part] if sizes else F.lit(0).cast("long"))).drop("at")
+
+
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """``sources`` (src, source_size) with ``target``: all words by weight, none above ``most`` times its size.
 
-    The capped sources are those with the least room for their weight, so one
-    pass in that order finds the level at which the rest is filled.
+    The level (words a unit of weight) rises from the one that ignores the caps,
+    as capped sources leave words to the others, until no more are capped; a
+    round is one aggregate of whole numbers, so reruns agree.
     """
-    named = Window.orderBy(F.col("src") == "-", "src")
     cycle = F.array(*map(F.lit, weights))
-    x = sources.withColumn("weight", F.element_at(cycle, ((F.row_number().over(named) - 1) % len(weights) + 1).cast("int")))
-    x = x.withColumn("cap", most * F.col("source_size").cast("double"))
-    by_room = Window.orderBy(F.col("cap") / F.col("weight"), "src").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    x = x.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    free = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_room), F.lit(0.0))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(by_room), F.lit(0.0))) / free
-    # It rises while a source's share exceeds its room and falls from there on.
-    x = x.withColumn("own_level", level).withColumn("level", F.max("own_level").over(everything))
-    return x.withColumn("target", F.least("cap", F.col("level") * F.col("weight"))).drop("cap", "weight", "total", "own_level", "level")
+    x = _ranked(sources).withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
+    cap = most * F.col("source_size").cast("double")
+    level, capped = 0.0, -1
+    while True:
+        over = cap <= F.lit(level) * F.col("weight")
+        total, held, free, n = x.agg(
+            F.sum("source_size"), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)
+        ).first()
+        if n == capped or not free:
+            break
+        capped, level = n, (total - most * (held or 0)) / free
+    return x.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")) if free else cap).drop("weight")
 
 
 def _join_sources(left: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
@@ -101,10 +115,12 @@ def balance(histogram: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) ->
             "src", "source_size", "target", "scale", F.when(gap == 0, F.col("tilt")).when(inside, newton).otherwise(apart).alias("tilt"), "full",
             low.alias("low"), high.alias("high"), (F.abs(gap) / F.greatest(F.col("target"), F.lit(1e-300))).alias("error"),
         )
-        state = stored(moved.unionByName(state.where("full").withColumn("error", F.lit(0.0))), "state")
+        before, state = state, stored(moved.unionByName(state.where("full").withColumn("error", F.lit(0.0))), "state")
+        discard(before)
         if (state.agg(F.max("error")).first()[0] or 0.0) < TOLERANCE:
             break
-    return state.select("src", "source_size", "target", "scale", "tilt", "full"), few
+    # Sums of fractions depend on their order in the last digits; rates must not.
+    return state.select("src", "source_size", "target", "scale", F.round("tilt", 9).alias("tilt"), "full"), few
 
 
 def _round_bucket(bucket, most: int):
@@ -148,7 +164,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Data
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
-    rows = keyed(docs, F.struct(*docs.columns).alias("row"))
+    rows = keyed(docs, F.struct(*every_column(docs)).alias("row"))
     chosen = stored(allocate(rows.drop("row"), weights, most), "mix").where("copies > 0").select("src", "size", "class", "n", "copies")
     rows = _own_copies(rows.join(chosen, ["src", "size", "class"])).where("own > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select("row.*")
