@@ -1,16 +1,19 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-A character trigram model is counted over all documents. A word that is not
-plain letters or repeats a letter, and a run of characters with white space
-between, goes through a lattice of what each character may stand for (itself,
-look-alikes, nothing, a repetition; a gap nothing or a boundary) whose cheapest path under the model is found by Viterbi
-search. The restored words' features, weighted by a logistic regression that is
-fitted on a bounded sample of labelled rows, give the score.
+A character trigram model is counted over all documents. A lattice holds what
+each character may stand for: itself, a letter that it looks like, nothing, or a
+repetition of the letter before; and each gap in a run of spaced characters may
+be a boundary or nothing. The cheapest path under the model is found by Viterbi
+search. Words of which the lattice has one path only (plain letters, none twice
+in a row) stand for themselves. The restored words' features, weighted by a
+logistic regression that is fitted on a bounded sample of labelled rows, give
+the score.
 
 Edge cases: a null or empty text scores as a text without words; null doc_ids
 are never labelled, and count as held in; rows labelled more than once count as
-toxic if one label says so; repeated rows score alike; extra columns are not
-read; without usable labels every score is 0; texts are never cut.
+toxic if one label says so; repeated rows score alike; other columns, whatever
+their names, only pass through or are not read; without usable labels every
+score is 0; an empty table gives an empty result; texts are never cut.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import process_cache, read, slices, stored
+from .common import discard, every_column, in_worker, process_cache, read, slices, stored
 
 THRESHOLD = 0.3
 #: Labelled rows that the regression is fitted on, at most.
@@ -33,7 +36,7 @@ MOST_LABELLED = 8_000
 MOST_FEATURES = 4_000
 LEAST_SEEN = 3
 #: Words whose features a Python worker remembers.
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 
 #: Character classes of the model: 0 a boundary, 1-26 the letters without accents, 27 other letters.
 CLASSES = 28
@@ -41,14 +44,18 @@ CLASSES = 28
 LOOKS = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou",
+    # Letters of other scripts.
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
 }
+#: Words with these and ASCII letters go through the lattice.
+LIKE_LETTERS = re.compile(f"[{''.join(c for c in LOOKS if c.isalpha())}]")
 #: Costs (in nats) of a look-alike, of a sign that stands for nothing (by whether it looks like a letter), and of a repetition.
 LOOK_COST, DROP_COST, DROP_LOOK_COST, REPEAT_COST = 0.7, 1.5, 9.0, 0.7
 #: Cost of reading on over a gap of a spaced run that is wider than its narrowest.
 WIDE_COST = 3.0
 PIECES = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 DOUBLE = re.compile(r"(.)\1")
 TRIPLE = re.compile(r"(.)\1\1")
 EDGES = ".,;:?!'\"()[]{}<>-_%#&/\\"
@@ -88,7 +95,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
     # At most CLASSES ** 3 rows, whatever the corpus.
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(in_worker(run, "classes"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     n = np.full(CLASSES**3, 0.5)
     n[counts.column("code").to_numpy()] += counts.column("n").to_numpy()
     n = n.reshape(CLASSES, CLASSES, CLASSES)
@@ -107,14 +114,16 @@ class Channel:
         """(letter, class, cost) of what a character may stand for; an empty letter is nothing."""
         if c not in self.choices:
             kind = lambda x: ord(b) - 96 if "a" <= (b := unicodedata.normalize("NFKD", x)[0].lower()) <= "z" else 27
-            if c.isalpha():
-                self.choices[c] = [(c, kind(c), 0.0)]
-            else:
-                self.choices[c] = [*((x, kind(x), LOOK_COST) for x in LOOKS.get(c, "")), ("", 0, DROP_LOOK_COST if c in LOOKS else DROP_COST)]
+            own = [(c, kind(c), 0.0)] if c.isalpha() else [("", 0, DROP_LOOK_COST if c in LOOKS else DROP_COST)]
+            self.choices[c] = [*((x, kind(x), LOOK_COST) for x in LOOKS.get(c, "")), *own]
         return self.choices[c]
 
     def restore(self, word: str, gaps: list[int] | None = None) -> str:
         """What a word stands for; with ``gaps`` (white space before each character) a run of spaced characters, as words."""
+        return self.best(word, gaps)[1]
+
+    def best(self, word: str, gaps: list[int] | None = None) -> tuple[float, str]:
+        """The cost of the cheapest path, and its letters."""
         narrow = min(gaps[1:]) if gaps else 0
         paths: dict[tuple, tuple] = {(0, 0, ""): (0.0, None)}
         for i, c in enumerate(word):
@@ -140,12 +149,12 @@ class Channel:
                         if state not in ahead or total < ahead[state][0]:
                             ahead[state] = (total, path)
             paths = ahead
-        _, tail = min(((cost + (self.cost[a][b][0] if b or not a else 0.0), tail) for (a, b, _), (cost, tail) in paths.items()), key=lambda x: x[0])
+        total, tail = min(((cost + (self.cost[a][b][0] if b or not a else 0.0), tail) for (a, b, _), (cost, tail) in paths.items()), key=lambda x: x[0])
         out = []
         while tail:
             out.append(tail[0])
             tail = tail[1]
-        return "".join(reversed(out))
+        return total, "".join(reversed(out))
 
 
 class Reader:
@@ -158,7 +167,8 @@ class Reader:
         """The plain words that a word holds or stands for."""
         plain = word.lower().strip(EDGES)
         if plain.isalpha() and not TRIPLE.search(plain):
-            return [plain, self.channel.restore(plain)] if DOUBLE.search(plain) else [plain]
+            other = not plain.isascii() and LIKE_LETTERS.search(plain) and any("a" <= c <= "z" for c in plain)
+            return [plain, self.channel.restore(plain)] if other or DOUBLE.search(plain) else [plain]
         plain = re.sub(r"([^\w])\1\1+$", "", plain)
         if not plain:
             return []
@@ -171,10 +181,6 @@ class Reader:
     def of_word(self, word: bytes) -> set[str]:
         return {f for plain in self.spelled(word.decode()) for f in self.features(plain)}
 
-    def spaced(self, text: str) -> list[str]:
-        """Words spelled letter by letter."""
-        return [self.channel.restore(m.replace(" ", "").lower()) for m in SPACED.findall(text)]
-
     def segmented(self, text: str) -> list[str]:
         """The words that runs of spaced characters stand for."""
         found = []
@@ -184,7 +190,7 @@ class Reader:
         return found
 
     def of_runs(self, text: str) -> set[str]:
-        return {f for plain in (*self.spaced(text), *self.segmented(text)) for f in self.features(plain)}
+        return {f for plain in self.segmented(text) for f in self.features(plain)}
 
 
 def fit(row: np.ndarray, feature: np.ndarray, n_features: int, label: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -215,11 +221,10 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray) -> tuple[dict[st
     def run(batches):
         reader = Reader(cost)
         for batch in batches:
-            for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                found = set().union(*map(reader.of_word, set((text or "").encode().split())), reader.of_runs(text or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([toxic], pa.int32()), pa.array([sorted(found)], pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
+            found = [sorted(set().union(*map(reader.of_word, set((t or "").encode().split())), reader.of_runs(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
 
-    read_rows = stored(rows.mapInArrow(run, "doc_id long, toxic int, features array<string>"), "labelled")
+    read_rows = stored(rows.mapInArrow(in_worker(run), "doc_id long, toxic int, features array<string>"), "labelled")
     sizes = {r[0]: r[1] for r in read_rows.groupBy("toxic").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     if not positive:
@@ -228,11 +233,15 @@ def learn(docs: DataFrame, labels: DataFrame, cost: np.ndarray) -> tuple[dict[st
     odds = F.log((F.col("p") + 0.5) / (positive + 1.0)) - F.log((F.col("n") - F.col("p") + 0.5) / (negative + 1.0))
     best = counts.where(F.col("p") >= min(LEAST_SEEN, positive)).withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc(F.col("p") * F.col("odds")), "f").limit(MOST_FEATURES)
     names = sorted(r[0] for r in best.select("f").collect())
-    own = F.array_intersect("features", F.array(*map(F.lit, names))) if names else F.array().cast("array<string>")
-    table = read_rows.select("doc_id", "toxic", own.alias("f")).toPandas().sort_values("doc_id", ignore_index=True)
     index = {f: i for i, f in enumerate(names)}
-    row = np.repeat(np.arange(len(table)), table["f"].map(len))
-    feature = np.array([index[f] for fs in table["f"] for f in fs], np.int64)
+    numbers = docs.sparkSession.createDataFrame(list(index.items()), "f string, i int")
+    # At most MOST_LABELLED rows, of at most MOST_FEATURES numbers.
+    numbered = read_rows.withColumn("row", F.monotonically_increasing_id())
+    own = numbered.select("doc_id", "toxic", "row", F.explode_outer("features").alias("f")).join(F.broadcast(numbers), "f", "left")
+    table = own.groupBy("row", "doc_id", "toxic").agg(F.sort_array(F.collect_list("i")).alias("i")).toPandas().sort_values(["doc_id", "row"], ignore_index=True)
+    discard(read_rows)
+    row = np.repeat(np.arange(len(table)), table["i"].map(len))
+    feature = np.array([i for own_ in table["i"] for i in own_], np.int64)
     weight, bias = fit(row, feature, len(names), table["toxic"].to_numpy(float))
     return {f: float(weight[i]) for f, i in index.items() if abs(weight[i]) > 1e-4}, bias
 
@@ -274,7 +283,7 @@ def _scored(docs: DataFrame, labels: DataFrame, extra: tuple) -> DataFrame:
                 scores.append(1 / (1 + np.exp(-max(min(total, 50.0), -50.0))) if bias > float("-inf") else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(scores, pa.float64())], names=[*(f.name for f in out), "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(in_worker(run, model), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,7 +294,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that score below the threshold."""
-    return _scored(docs, labels, (F.struct(*docs.columns).alias("row"),)).where(F.col("score") < THRESHOLD).select("row.*")
+    return _scored(docs, labels, (F.struct(*every_column(docs)).alias("row"),)).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
