@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import knn, licenses, mixing, packing, repetition, simhash, substring, token_counts, toxicity, url_lists
+from docweave.llm import knn, licenses, mixing, near, packing, repetition, simhash, substring, token_counts, toxicity, url_lists
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, k1 long, spans string, fp long, score double"
@@ -92,10 +92,55 @@ def test_near_duplicates(docs, rows, none):
     wanted = [{"doc_id": r[0], "fingerprint": f"{prints[i]:016x}", "component_id": min((x for x in members[least[i]] if x is not None), default=None)} for i, r in enumerate(rows)]
     names = ("doc_id", "fingerprint", "component_id")
     assert key(simhash.near_duplicates(docs, 4, 4).collect(), *names) == key(wanted, *names)
-    kept = simhash.one_of_each(docs, 4, 4)
-    assert kept.columns == docs.columns
-    assert key(kept.collect(), "doc_id") == sorted(((min((x for x in m if x is not None), default=None),) for m in members.values()), key=str)
-    assert simhash.near_duplicates(none, 4, 4).count() == 0 and simhash.one_of_each(none, 4, 4).count() == 0
+    assert simhash.near_duplicates(none, 4, 4).count() == 0
+
+
+def test_a_cell_with_very_many_fingerprints(spark):
+    """One bit a segment: all share every cell of counts, and next to none links."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    sides = np.unique(rng.integers(0, 1 << 32, 40_000, dtype=np.uint64))
+    spread = np.zeros(len(sides), np.uint64)
+    for i in range(32):
+        spread |= ((sides >> np.uint64(i)) & np.uint64(1)) + np.uint64(1) << np.uint64(2 * i)
+    planted = spread[:50] ^ (np.uint64(3) << rng.integers(0, 32, 50).astype(np.uint64) * np.uint64(2))
+    fp = np.unique(np.r_[spread, planted]).view(np.int64)
+    found = simhash.links(spark.createDataFrame(pa.table({"fp": fp})).repartition(4), len(fp), 4).collect()
+    near = {(r["u"], r["v"]) for r in found} | {(r["v"], r["u"]) for r in found}
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 * 50 for a, b in near)
+    label = {x: x for x in fp.tolist()}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in near:
+        label[root(a)] = root(b)
+    pairs = list(zip(spread[:50].view(np.int64).tolist(), planted.view(np.int64).tolist()))
+    assert all(root(a) == root(b) for a, b in pairs)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 40])
+def test_hot_cells_lose_no_connection(spark, hot):
+    rng, prints = random.Random(hot), set()
+    for centre in (rng.getrandbits(64) for _ in range(6)):
+        for _ in range(60):
+            prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))))
+    fp = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    least = {x: x for x in fp}
+
+    def groups(edges):
+        label = {x: x for x in fp}
+        find = lambda x: x if label[x] == x else find(label[x])
+        for a, b in edges:
+            label[find(a)] = find(b)
+        return {frozenset(x for x in fp if find(x) == r) for r in {find(x) for x in fp}}
+
+    wanted = groups((a, b) for a in fp for b in fp if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    got = simhash.links(spark.createDataFrame([(x,) for x in least], "fp long"), len(fp), 4, hot).collect()
+    assert groups(got) == wanted
 
 
 def test_packing_round_trip(docs, rows, none):
@@ -133,6 +178,11 @@ def test_packing_under_several_capacities(docs):
 def test_counts_and_repetition_keep_rows(docs, none):
     model = public_tokenizers.path("piece_bpe_32k.model")
     counts = token_counts.token_counts(docs, model, limit=100)
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    wanted = [{"doc_id": r[0], "n_tokens": len(library.encode(r[1] or "")), "n_bytes": len((r[1] or "").encode())} for r in docs.collect()]
+    assert key(counts.collect(), "doc_id", "n_tokens", "n_bytes") == key(wanted, "doc_id", "n_tokens", "n_bytes")
     assert counts.count() == docs.count() and counts.where("over_limit <> (n_tokens > 100)").count() == 0
     assert counts.where("n_bytes = 0").agg(F.max("n_tokens")).first()[0] == 0
     scores = repetition.repetition_coverage(docs)
@@ -203,6 +253,47 @@ def test_top_k(spark, monkeypatch):
     assert knn.voronoi_top_k(df.where("vec_id IN (0, 3)")).count() == 1
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), *((i, [float(i), 9.0 - i]) for i in range(1, 9))]
+    got = sorted(tuple(r) for r in knn.voronoi_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect())
+    assert got == [(0, 1, 1, 8 * 65536), (0, 1, 8, 8 * 65536), (0, 2, 2, 7 * 65536), (0, 2, 7, 7 * 65536)]
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e306, 1.0]), (50, [1.0, 1.0]), (3, [2.0, 3.0])]
+    got = sorted(tuple(r) for r in knn.voronoi_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    most = (1 << 63) - 1
+    assert got == [(0, 1, 3, most), (0, 2, 50, most), (50, 1, 0, most), (50, 2, 3, 5 * 65536)]
+
+
+def test_only_clustered_data_is_spared_copies(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PIVOT_QUERIES", 4)
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 1, (12, 16)) * 40
+    clustered = [(i, [float(x) for x in centre[i % 12] + rng.normal(0, 0.5, 16)]) for i in range(3000)]
+    uniform = [(i, [float(x) for x in rng.normal(0, 1, 16)]) for i in range(3000)]
+    copies = [knn.replication(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) for rows in (clustered, uniform)]
+    assert copies[0] < 0.5 * copies[1]
+
+
+def test_cells_of_many_pivots_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    pivots, v = np.floor(rng.normal(0, 100, (256, 64))), np.floor(rng.normal(0, 100, (10_000, 64)))
+    tracemalloc.start()
+    cell, away = knn.nearest(v, pivots)
+    bound = knn.sample_bound(np.arange(10_000), v, np.arange(2048), v[:2048], 5)
+    each = lambda x: pa.array(np.full(256, float(x)))
+    cells = knn.Cells(pivots, pa.table({"g": np.arange(256, dtype=np.int32), "n": each(100), "radius": each(away.max()), "asked": each(10), "asked_radius": each(away.max()), "bound": each(bound.min())}), 5)
+    row, to = cells.needed(v[:5000], cell[:5000])
+    assert len(row) and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert (((v[:50, None] - pivots[None]) ** 2).sum(2).argmin(1) == cell[:50]).all()
+
+
 def test_toxicity_learns_and_leaves_held_out_labels_alone(spark, none):
     rng = random.Random(1)
     bad = ["scoundrel", "villain", "wretch"]
@@ -249,3 +340,44 @@ def test_licenses(spark):
 def test_native_plans_have_no_python(spark, tmp_path):
     for df in (licenses.license_scan(spark.createDataFrame([(1, "x")], "doc_id long, text string")), url_lists.url_verdicts(spark.createDataFrame([(1, "x")], "page_id long, url string").withColumn("fetched", F.current_date()), spark.createDataFrame(url_lists.ENTRIES, "list string, pattern string, action string, day string").withColumn("day", F.to_date("day")))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+
+
+def test_any_column_names_pass_through(spark):
+    """Names with signs, and names that the operators use themselves."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 60), "s", i, i, "x", None, i, i) for i in range(12)] + [(99, None, None, None, None, None, None, None, None)]
+    columns = "doc_id long, text string, source string, `_` long, `a.b` long, `c``d` string, none string, row long, c0 long"
+    docs = spark.createDataFrame(rows, columns)
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(12)], "doc_id long, toxic int")
+    for out in (substring.without_repeats(docs), near.one_of_each(docs), mixing.mixed(docs), toxicity.not_toxic(docs, labels)):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert r["doc_id"] is None or r["a.b"] == r["_"] == r["row"] == r["c0"] == (None if r["doc_id"] == 99 else r["doc_id"])
+        assert out.where("`a.b` >= 0").count() > 0
+
+
+def test_one_very_long_text(spark):
+    """A text far longer than a slice beside short ones, and one of a single word."""
+    rng = random.Random(6)
+    letters = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    long = " ".join("".join(rng.choices(letters, k=5)) for _ in range(180_000))
+    rows = [(1, long, "a"), (2, "z" * 200_000, "a"), (3, "short text", "b"), (50, "short text", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")
+    n = {r["doc_id"]: r["size"] for r in mixing.mixture(docs).collect()}
+    assert n == {1: 180_000, 2: 1, 3: 2, 50: 2}
+    prints = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 4, 4).collect()}
+    assert prints[50] == 3 and prints[1] == 1 and prints[2] == 2
+    assert sorted(r["doc_id"] for r in near.one_of_each(docs).collect()) == [1, 2, 3]
+    assert {r["doc_id"]: r["n_words"] for r in substring.word_digest(docs).collect()} == n
+    assert {r["doc_id"]: r["n_words"] for r in repetition.repetition_coverage(docs).collect()} == n
+    assert licenses.license_scan(docs).count() == 4 and toxicity.toxicity(docs, labels).count() == 4
+    assert packing.to_pieces(docs.where("doc_id <> 2"), public_tokenizers.path("word_bpe_49k.json")).where("length > 4096").count() == 0
+
+
+def test_substrings_of_like_pattern(spark):
+    """Two documents that differ in one word of the same pattern have no window in common."""
+    letters = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    rest = [f"w{i}" for i in range(18)]
+    rows = [(i, " ".join([*rest, x, *rest])) for i, x in enumerate((letters[:1024], letters[1024:]))]
+    assert {r["n_removed"] for r in substring.word_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
