@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,23 +139,45 @@ def evaluate(parts: list[DataFrame], documents: DataFrame) -> DataFrame:
     return x.withColumn("badcase_count", badcase_count(*(F.col(m) for m in ("heading_level_accuracy", "parent_child_f1", "table_cell_f1", "text_cer"))))
 
 
-def heading_chains(nodes: DataFrame, id: str = "node_id") -> DataFrame:
-    """(doc_id, pos, text, chain): the headings with text among nodes (pos, id, node_type, text, parent_id), and the texts of those above them, outermost first."""
-
-    def chains(rows: list[dict]):
-        said = {r["id"]: (r["text"] or "").strip() or r["id"] for r in rows if r["heading"]}
-        above = {r["id"]: r["parent_id"] for r in rows}
-        for r in rows:
-            if not r["heading"] or not (r["text"] or "").strip():
-                continue
+def _chains(rows: list[dict]) -> dict[str, list[str]]:
+    """The chain of texts above each heading with text, outermost first; the last of equal texts counts."""
+    said = {r["id"]: (r["text"] or "").strip() or r["id"] for r in rows if r["kind"] == "heading"}
+    above = {r["id"]: r["parent_id"] for r in rows}
+    found = {}
+    for r in rows:
+        if r["kind"] == "heading" and (r["text"] or "").strip():
             chain, up = [], r["parent_id"]
             while up and up not in chain:
                 chain.append(up)
                 up = above.get(up)
-            yield r["pos"], r["text"].strip(), [said.get(x, x) for x in reversed(chain)]
+            found[r["text"].strip()] = [said.get(x, x) for x in reversed(chain)]
+    return found
+
+
+def _share(same: int, n: int, m: int) -> float:
+    return 2 * same / (n + m) if n and m else float(n == m)
+
+
+def _tau(predicted: list[str], truth: list[str]) -> float:
+    """``kendall_tau`` of two lists of items."""
+    last = {x: i for i, x in enumerate(truth)}
+    first: dict[str, int] = {}
+    both = sorted((first.setdefault(x, i), last[x]) for i, x in enumerate(predicted) if x in last)
+    n = len(both) * (len(both) - 1) // 2
+    return 2 * increasing_pairs(np.array([t for _, t in both])) / n - 1 if len(set(both)) > 1 else 1.0
+
 
-    rows = nodes.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col(id).alias("id"), (F.col("node_type") == "heading").alias("heading"), "text", "parent_id")
-    return fold_documents(rows, ["pos", "id", "heading", "text", "parent_id"], chains, "pos bigint, text string, chain array<string>")
+def _tables(predicted: list[list], truth: list[list]) -> float:
+    """``paired_table_f1`` of two lists of cell matrices."""
+    by_header: tuple[dict, dict] = {}, {}
+    for side, tables in zip(by_header, (predicted, truth), strict=True):
+        for cells_ in tables:
+            side.setdefault("|".join(c or "" for c in cells_[0] or ()).strip(), []).append(Counter(" ".join((c or "").split()) for row in cells_ for c in row or ()))
+    p, t = by_header
+    pairs = [(a, b) for header in p.keys() & t.keys() for a, b in zip(p[header], t[header], strict=False)]
+    alone = max(sum(len(v) for k, v in a.items() if k not in b) for a, b in ((p, t), (t, p)))
+    total = len(pairs) + alone
+    return sum(_share((a & b).total(), a.total(), b.total()) for a, b in pairs) / total if total else 1.0
 
 
 def evaluate_trees(nodes: DataFrame, truth: DataFrame, documents: DataFrame, true_parents: bool = False) -> DataFrame:
@@ -162,26 +186,28 @@ def evaluate_trees(nodes: DataFrame, truth: DataFrame, documents: DataFrame, tru
     ``nodes`` are those of ``tree.build_tree`` (preorder is their reading order,
     pos that of their text); ``truth`` has doc_id, pos, id, type, text, parent_id
     and perhaps cell_matrix. Pairs are (root, heading) unless ``true_parents``.
+    Both tables meet once, by document; each metric is the one of its own
+    operator, over the document's rows.
     """
-    t = truth.withColumnsRenamed({"id": "node_id", "type": "node_type"})
-    found, wanted = heading_chains(nodes), heading_chains(t)
-    parent = F.coalesce(F.try_element_at("chain", F.lit(-1)), F.lit("root")) if true_parents else F.lit("root")
-    pairs = lambda df: df.select("doc_id", parent.alias("parent"), F.col("text").alias("child"))
-    order = lambda df, pos, item: df.where(item != "").select("doc_id", F.col(pos).alias("pos"), item.alias("item"))
-    orders = order(nodes, "preorder", text.text_of("text")), order(t, "pos", F.coalesce(F.nullif(text.text_of("text"), F.lit("")), "node_id", F.lit("")))
-    said = lambda df: df.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(text.text_of("text") != "", F.struct("pos", "text")))), lambda r: r["text"]), " ").alias("said"))
-    tables = lambda df: df.where("node_type = 'table' AND size(cell_matrix) > 0") if "cell_matrix" in df.columns else df.where("false").withColumn("cell_matrix", F.lit(None).cast("array<array<string>>"))
-    both = documents.select("doc_id").join(said(nodes).withColumnRenamed("said", "p"), "doc_id", "left").join(said(t).withColumnRenamed("said", "t"), "doc_id", "left")
-    score = documents.select("doc_id").join(paired_table_f1(tables(nodes), tables(t)), "doc_id", "left").withColumn("table_cell_f1", F.coalesce("table_cell_f1", F.lit(1.0)))
-    flagged = nodes if "need_review" in nodes.columns else nodes.withColumn("need_review", F.lit(False))
-    parts = [
-        heading_accuracy(found, wanted), pair_f1(pairs(found), pairs(wanted), name="parent_child_f1").select("doc_id", "parent_child_f1"), kendall_tau(*orders),
-        score, both.select("doc_id", cer(F.col("p"), F.col("t")).alias("text_cer")), review_ratio(flagged, "doc_id"),
-    ]
-    results = evaluate(parts, documents)
-    # A document without true headings has lost none.
-    empty = {"heading_level_accuracy": 1.0, "parent_child_f1": 1.0, "reading_order_kendall_tau": 1.0, "review_ratio": 0.0}
-    return results.withColumns({m: F.coalesce(m, F.lit(v)) for m, v in empty.items()})
+    matrix = lambda df: F.col("cell_matrix") if "cell_matrix" in df.columns else F.lit(None).cast("array<array<string>>")
+    side = lambda df, name, place, id, kind, review: df.select("doc_id", F.lit(name).alias("side"), F.col(place).cast("long").alias("place"), F.col("pos").cast("long").alias("pos"), F.col(id).cast("string").alias("id"), F.col(kind).alias("kind"), "text", "parent_id", matrix(df).alias("cells"), review.alias("review"))
+    flagged = F.coalesce(F.col("need_review"), F.lit(False)) if "need_review" in nodes.columns else F.lit(False)
+    rows = side(nodes, "p", "preorder", "node_id", "node_type", flagged).unionByName(side(truth, "t", "pos", "id", "type", F.lit(False)))
+
+    def scores(rows: list[dict]):
+        p, t = (sorted((r for r in rows if r["side"] == name), key=lambda r: (r["place"], r["id"] or "")) for name in "pt")
+        found, wanted = _chains(p), _chains(t)
+        pairs = [{((chain[-1] if chain else "root") if true_parents else "root", said) for said, chain in chains.items()} for chains in (found, wanted)]
+        tables = [[r["cells"] for r in side if r["kind"] == "table" and r["cells"]] for side in (p, t)]
+        joined = (" ".join(r["text"] for r in sorted(side, key=lambda r: r["pos"]) if r["text"]) for side in (p, t))
+        yield (
+            sum(found.get(k) == v for k, v in wanted.items()) / len(wanted) if wanted else 1.0, _share(len(pairs[0] & pairs[1]), len(pairs[0]), len(pairs[1])),
+            _tau([r["text"] for r in p if r["text"]], [r["text"] or r["id"] for r in t if r["text"] or r["id"]]), _tables(*tables), sum(r["review"] for r in p) / len(p) if p else 0.0, *joined,
+        )
+
+    schema = "heading_level_accuracy double, parent_child_f1 double, reading_order_kendall_tau double, table_cell_f1 double, review_ratio double, p string, t string"
+    x = fold_documents(rows, ["side", "place", "pos", "id", "kind", "text", "parent_id", "cells", "review"], scores, schema)
+    return evaluate([x.withColumn("text_cer", cer(F.col("p"), F.col("t"))).drop("p", "t")], documents)
 
 
 def report(results: DataFrame) -> DataFrame:

@@ -379,7 +379,7 @@ def _results(spark, sf_dir):
     heading = F.col("block_type") == "title"
     truth = x.select("doc_id", "pos", F.col("block_id").alias("id"), F.when(heading, "heading").otherwise(F.col("block_type")).alias("type"), "text", F.lit(None).cast("string").alias("parent_id"))
     level = F.element_at(F.array(F.lit("light"), F.lit("medium"), F.lit("heavy")), (F.col("doc_id") % 3 + 1).cast("int"))
-    nodes = tree.build_tree(blocks.preprocess(x)).persist()  # every metric reads it
+    nodes = tree.build_tree(blocks.preprocess(x))
     return evaluation.evaluate_trees(nodes, truth, x.select("doc_id", level.alias("dirt_level")).distinct())
 
 

@@ -196,6 +196,35 @@ def test_heading_accuracy(spark):
     assert evaluation.heading_accuracy(rows(("a", []), ("b", []), ("c", ["a", "b"])), truth).first()[1] == pytest.approx(2 / 3)
 
 
+def test_evaluation_of_trees_is_that_of_its_metrics(spark):
+    rng = random.Random(11)
+    nodes, truth = [], []
+    for doc in range(20):
+        for side in (nodes, truth):
+            heads = []
+            for i in range(rng.randint(0, 9)):
+                kind = rng.choice(["heading", "heading", "paragraph", "table"])
+                said = rng.choice(["A", "B", " C", "d e", "", None])
+                cells = [[rng.choice(["h", "k "]), None], [rng.choice("xyz"), "1  2"]] if kind == "table" else None
+                side.append((doc, i, f"n{i}", kind, said, rng.choice([*heads, None]), cells, rng.random() < 0.3))
+                heads += [f"n{i}"] if kind == "heading" else []
+    schema = "doc_id int, pos int, {} string, {} string, text string, parent_id string, cell_matrix array<array<string>>, need_review boolean"
+    p = spark.createDataFrame(nodes, schema.format("node_id", "node_type")).withColumn("preorder", F.col("pos"))
+    t = spark.createDataFrame(truth, schema.format("id", "type")).drop("need_review")
+    docs = spark.createDataFrame([(i, "light") for i in range(20)], "doc_id int, dirt_level string")
+    got = {r["doc_id"]: r for r in evaluation.evaluate_trees(p, t, docs).collect()}
+    items = lambda df, id: df.select("doc_id", "pos", F.coalesce(F.nullif("text", F.lit("")), id).alias("item")).where("item IS NOT NULL")
+    tau = {r[0]: r[1] for r in evaluation.kendall_tau(items(p, F.lit(None)), items(t, F.col("id"))).collect()}
+    tables = {r[0]: r[1] for r in evaluation.paired_table_f1(p.where("node_type = 'table'"), t.where("type = 'table'")).collect()}
+    heads = lambda df, kind: df.where(F.col(kind) == "heading").select("doc_id", F.lit("root").alias("parent"), F.trim("text").alias("child")).where("child <> ''")
+    f1 = {r["doc_id"]: r["f1"] for r in evaluation.pair_f1(heads(p, "node_type"), heads(t, "type")).collect()}
+    review = {r[0]: r[1] for r in evaluation.review_ratio(p, "doc_id").collect()}
+    for doc, r in got.items():
+        if any(x[0] == doc for x in nodes + truth):
+            wanted = [tau.get(doc, 1.0), tables.get(doc, 1.0), f1.get(doc, 1.0), review.get(doc, 0.0)]
+            assert [r["reading_order_kendall_tau"], r["table_cell_f1"], r["parent_child_f1"], r["review_ratio"]] == pytest.approx(wanted), doc
+
+
 def test_report_and_badcases(spark):
     docs = spark.createDataFrame([(1, "light"), (2, "light"), (3, "heavy")], "doc_id int, dirt_level string")
     part = spark.createDataFrame([(1, 1.0, 0.5, 0.2), (2, 1.0, 1.0, 0.0)], "doc_id int, heading_level_accuracy double, parent_child_f1 double, text_cer double")
