@@ -56,3 +56,24 @@ def test_run_equals_its_stages(spark, corpus):
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "mixing", "packing"]
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) == 10
+
+
+def test_stages_on_awkward_rows(spark, corpus, tmp_path):
+    """Nulls, empty texts, repeated rows and odd columns; then no rows at all."""
+    path, rows, _ = corpus
+    columns = "doc_id long, text string, lang string, source string, n_chars long, `row.x` long, k1 string, size string"
+    odd = [(*r, r[0], "k", None) for r in rows[:40]] + [(*rows[1], 1, "k", None)] * 2
+    odd += [(None, None, None, None, None, None, None, None), (500, None, None, None, None, 500, None, None), (501, "", "en", "s1", 0, 501, None, None), (502, " \n", "en", None, 2, 502, None, None), (None, rows[2][1], "en", None, 1, None, None, None)]
+    docs = spark.createDataFrame(odd, columns)
+    for some in (docs, docs.where("false")):
+        left = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, left, path)
+            assert out.columns == docs.columns
+            left = spark.createDataFrame(out.collect(), docs.schema)
+            ids = [r["doc_id"] for r in left.collect()]
+            assert all(r["row.x"] == r["doc_id"] for r in left.collect())
+            if some is docs and name in ("simhash_near_dedup", "substring_dedup"):
+                assert ids.count(1) == ids.count(2) == 1 and ids.count(500) == 1 and not {501, 502, None} & set(ids)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, left, path)
+        assert pieces.count() == left.count() and (some is docs) == (left.count() > 0)
