@@ -35,8 +35,8 @@ MOST_LABELLED = 8_000
 #: Features that it may use, at most, and the positive rows that one needs.
 MOST_FEATURES = 4_000
 LEAST_SEEN = 3
-#: Words whose features a Python worker remembers.
-MOST_WORDS = 200_000
+#: Words of a generation whose features a Python worker remembers; it keeps two, so that frequent words stay.
+MOST_WORDS = 100_000
 
 #: Character classes of the model: 0 a boundary, 1-26 the letters without accents, 27 other letters.
 CLASSES = 28
@@ -259,23 +259,22 @@ def _scored(docs: DataFrame, labels: DataFrame, extra: tuple) -> DataFrame:
 
     def run(batches):
         reader = Reader(cost)
-        seen: dict[bytes, tuple[int, ...]] = process_cache(model, dict)
-
-        def of(word: bytes) -> tuple[int, ...]:
-            got = seen[word] = tuple(number[f] for f in reader.of_word(word) if f in number)
-            return got
-
+        held: list[dict[bytes, tuple[int, ...]]] = process_cache(model, lambda: [{}, {}])
         for batch in batches:
             scores = []
             for text in batch.column("_text").to_pylist():
                 text = text or ""
-                if len(seen) > MOST_WORDS:
-                    seen.clear()
+                if len(held[0]) > MOST_WORDS:
+                    held[:] = {}, held[0]
+                seen, before = held
                 found: set[int] = set()
                 for word in set(text.encode().split()):
                     got = seen.get(word)
                     if got is None:
-                        got = of(word)
+                        got = before.get(word)
+                        if got is None:
+                            got = tuple(number[f] for f in reader.of_word(word) if f in number)
+                        seen[word] = got
                     if got:
                         found.update(got)
                 found.update(number[f] for f in reader.of_runs(text) if f in number)
