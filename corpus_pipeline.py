@@ -29,10 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id.
 
-    Near copies share 0.8 or more of their five-word shingles (Jaccard). SimHash
-    fingerprints of those that meet in the grids of ``simhash`` propose pairs,
-    but most near copies differ in more bits than grids can carry; so rare
-    shingles propose the rest, and the shingles of every pair are compared.
+    Near copies share 0.8 or more of their five-word shingles (Jaccard). Those
+    with close SimHash fingerprints come from the grids of ``simhash`` alone, but
+    most near copies differ in more bits than grids can carry; so rare shingles
+    propose those, and the shingles of every pair are compared.
     """
     return near.one_of_each(docs, words=5)
 

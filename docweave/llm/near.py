@@ -1,14 +1,16 @@
 """Near copies by the exact Jaccard similarity of their word shingles.
 
 Links are all pairs of shingle sets with a similarity of ``LEAST`` or more. Two
-routes find them. Fingerprints of the same shingles that meet in the cells of
-``simhash`` give links between close copies. The rest come without loss by
-prefix filtering: the sets are sorted by one order for all, rare shingles first,
-and two similar sets must share one of the first few. Sets that meet in such a
-shingle are cut down by their sizes, the shingle's places and a parity sketch of
-the sets, and compared as a whole. A first round compares each set with one
-other a route, two more with the nearest sets of other components, and the last
-compares all that these leave unconnected.
+routes find them, and each pair belongs to one. Pairs with fingerprints within
+``DISTANCE`` bits come from ``simhash`` alone: its links make components, and
+the sets of a component meet in a cell. Pairs that differ in more bits come
+without loss by prefix filtering: the sets are sorted by one order for all, rare
+shingles first, and two similar sets must share one of the first few, whose sets
+are a cell. Components of over ``TOGETHER`` sets are dealt anew by these
+shingles. Sets that meet are cut down by their sizes, the shingle's places and a
+parity sketch of the sets, and compared as a whole. A first round compares each
+set with one other a route, two more with the nearest sets of other components,
+and the last compares all that these leave unconnected.
 
 Edge cases: a null text has no words, and texts without words are copies of one
 another; a text with fewer words than a shingle is one shingle; repeated shingles
@@ -30,8 +32,10 @@ from .components import components
 
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-#: Bits within which fingerprints propose a pair.
+#: Bits within which a pair belongs to the fingerprints.
 DISTANCE = 4
+#: Sets of a component of fingerprints that meet in one cell; larger ones are dealt anew by shingles. Results don't depend on it.
+TOGETHER = 5_000
 #: Sets that say which shingles are common, about, and how many of those are told apart. The order doesn't change results.
 SAMPLE = 40_000
 MOST_COMMON = 200_000
@@ -188,8 +192,8 @@ def _to_least(cells: DataFrame) -> DataFrame:
     return pairs
 
 
-def _by_fingerprint(classes: DataFrame) -> DataFrame:
-    """Pairs of sets whose fingerprints are equal or linked."""
+def _by_fingerprint(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of sets whose fingerprints are equal or linked; and cells, as of ``_cells``, in which similar sets with fingerprints within ``DISTANCE`` bits meet."""
     first = stored(classes.groupBy("fp").agg(F.min(F.struct("name", "size")).alias("m")), "fingerprints")
     found = stored(simhash.links(first, first.count(), DISTANCE), "links")
     side = lambda e: first.select(F.col("fp").alias(e), F.col("m").alias(f"m{e}"))
@@ -198,19 +202,30 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     close = LEAST[1] * F.least("a.size", "b.size") >= LEAST[0] * F.greatest("a.size", "b.size")
     pairs = linked.union(same).where((F.col("a.name") != F.col("b.name")) & close)
     pairs = stored(pairs.select(F.least("a.name", "b.name").alias("u"), F.greatest("a.name", "b.name").alias("v")).distinct(), "pairs")
-    discard(first, found)
-    return pairs
-
-
-def cell_pairs(key, name, size, place, label, small, every: bool):
-    """Pairs of names of different labels that meet in a cell and may be similar by sizes, places and small sketches, in parts.
-
-    Members of a cell's most frequent label are compared with the others only;
-    unless ``every``, each of these others gives its NEAREST pairs alone.
+    roots = components(found)
+    sets = classes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    together = stored(sets.groupBy("root").count().where("count > 1"), "together")
+    members = sets.withColumn("size", F.col("size").cast("int")).join(together, "root")
+    cells = members.where(F.col("count") <= TOGETHER).select(F.xxhash64("root").alias("key"), "name", "size", F.lit(0).alias("place"))
+    if together.where(F.col("count") > TOGETHER).count():
+        anew = members.where(F.col("count") > TOGETHER).select("root", "name", "size", F.posexplode("first").alias("place", "shingle"))
+        cells = cells.union(anew.select(F.xxhash64("root", "shingle"), "name", "size", "place"))
+    cells = stored(cells, "close")
+    discard(first, found, roots, together)
+    return pairs, cells
+
+
+def cell_pairs(key, name, size, place, close, label, fp, small, every: bool):
+    """Pairs of names of different labels that meet in a cell of their route and may be similar by sizes, places and small sketches, in parts.
+
+    In cells that are ``close`` these are pairs with fingerprints ``fp`` within
+    DISTANCE bits, and in others those that differ in more. Members of a cell's
+    most frequent label are compared with the others only; unless ``every``, each
+    of these others gives its NEAREST pairs alone.
     """
     top, bottom = LEAST
     order = np.lexsort((name, size, key))
-    key, name, size, place, label, small = key[order], name[order], size[order].astype(np.int64), place[order].astype(np.int64), label[order], small[order]
+    key, name, size, place, close, label, fp, small = key[order], name[order], size[order].astype(np.int64), place[order].astype(np.int64), close[order], label[order], fp[order], small[order]
     if not len(key):
         return
     cell = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
@@ -235,6 +250,8 @@ def cell_pairs(key, name, size, place, label, small, every: bool):
         b = np.repeat(lo[at:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
         hit = (label[a] != label[b]) & (~other[b] | (a < b) | (not every)) & ((top + bottom) * np.minimum(size[a] - place[a], size[b] - place[b]) >= top * (size[a] + size[b]))
         a, b = a[hit], b[hit]
+        hit = (np.bitwise_count(fp[a] ^ fp[b]) <= DISTANCE) == close[a]
+        a, b = a[hit], b[hit]
         differ = np.bitwise_count(small[a] ^ small[b]).sum(1, dtype=np.int64)
         hit = (top + bottom) * differ <= (bottom - top) * (size[a] + size[b])
         a, b, differ = a[hit], b[hit], differ[hit]
@@ -251,26 +268,33 @@ def cell_pairs(key, name, size, place, label, small, every: bool):
 def _unconnected(cells: DataFrame, classes: DataFrame, roots: DataFrame, every: bool) -> DataFrame:
     """Pairs that meet in a cell and are of different components by ``roots``; all of them, or each set's nearest."""
     named = roots.select(F.col("u").alias("name"), F.col("v").alias("root"))
-    labelled = stored(cells.join(named, "name", "left").select("key", "name", "size", "place", F.coalesce("root", "name").alias("label")), "labelled")
+    labelled = stored(cells.join(named, "name", "left").select("key", "name", "size", "place", "close", F.coalesce("root", "name").alias("label")), "labelled")
     mixed = stored(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"), "mixed")
-    rest = stored(labelled.join(mixed, "key", "left_semi").join(classes.select("name", "small"), "name"), "rest")
-    names = ("key", "name", "size", "place", "label")
+    rest = stored(labelled.join(mixed, "key", "left_semi").join(classes.select("name", "fp", "small"), "name"), "rest")
+    names = ("key", "name", "size", "place", "close", "label")
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         small = np.concatenate([b.column("small").flatten().to_numpy() for b in got]).view(np.uint64).reshape(-1, SMALL)
-        for u, v in cell_pairs(*(np.concatenate([b.column(c).to_numpy() for b in got]) for c in names), small, every):
+        fp = np.concatenate([b.column("fp").to_numpy() for b in got]).view(np.uint64)
+        for u, v in cell_pairs(*(np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in names), fp, small, every):
             both = np.unique(np.stack([u, v], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
 
     tasks = max(1, -(-rest.count() // TASK_ROWS))
-    pairs = stored(rest.select(*names, "small").repartition(tasks, "key").mapInArrow(in_worker(run), "u long, v long").distinct(), "pairs")
+    pairs = stored(rest.select(*names, "fp", "small").repartition(tasks, "key").mapInArrow(in_worker(run), "u long, v long").distinct(), "pairs")
     discard(labelled, mixed, rest)
     return pairs
 
 
+def _beyond(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) with fingerprints that differ in more than ``DISTANCE`` bits."""
+    side = lambda e: classes.select(F.col("name").alias(e), F.col("fp").alias(f"fp_{e}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(F.bit_count(F.col("fp_u").bitwiseXOR(F.col("fp_v"))) > DISTANCE).select("u", "v")
+
+
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (u, v) that their sketches don't rule out."""
     top, bottom = LEAST
@@ -303,14 +327,16 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     rows = stored(prefixes.select("doc_id", "k1", "k2", "name"), "rows")
     classes = stored(prefixes.drop("doc_id", "k1", "k2").dropDuplicates(["name"]), "classes")
     discard(prefixes)
-    cells = _cells(classes)
-    found = (_to_least(cells), _by_fingerprint(classes))
+    rare, (linked, close) = _cells(classes), _by_fingerprint(classes)
+    cells = rare.withColumn("close", F.lit(False)).union(close.withColumn("close", F.lit(True)))
+    met = _to_least(rare)
+    beyond = stored(_beyond(met, classes), "beyond")
     # Each set is compared with one other of each route.
     one = lambda pairs: _alike(pairs, classes).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    some = stored(one(found[0]).union(one(found[1])).distinct(), "some")
+    some = stored(one(beyond).union(one(linked)).distinct(), "some")
     links = _similar(some, rows, docs, words)
     roots = components(links)
-    discard(*found, some, links)
+    discard(linked, met, beyond, some, links)
     left = ROUNDS
     while True:
         every = left == 0
@@ -329,7 +355,7 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     every = rows.groupBy("k1", "k2").count().join(kept, ["k1", "k2"], "left")
     gone = stored(every.where("kept IS NULL").select("k1", "k2"), "gone")
     again = stored(every.where("kept AND count > 1").select("k1", "k2"), "again")
-    discard(classes, cells, roots, rows, kept)
+    discard(classes, rare, close, roots, rows, kept)
     small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
     gone, again = small(gone), small(again)
     whole = docs.select(F.struct(*every_column(docs)).alias("row"), *doc_key()).join(gone, ["k1", "k2"], "left_anti")
