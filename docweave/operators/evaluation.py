@@ -122,7 +122,7 @@ def paired_table_f1(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 def cer(predicted: Column, truth: Column) -> Column:
     """Character error rate of normalised texts; without a true text one if there is any other, else zero."""
     p, t = text.full_to_half(F.coalesce(predicted, F.lit(""))), text.full_to_half(F.coalesce(truth, F.lit("")))
-    return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).when(p == "", 1.0).otherwise(F.levenshtein(p, t) / F.length(t))
+    return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).when(p == "", 1.0).otherwise(text.levenshtein(p, t) / F.length(t))
 
 
 def badcase_count(heading: Column, pairs: Column, tables: Column, error: Column) -> Column:

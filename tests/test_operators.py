@@ -343,3 +343,24 @@ def test_costs_and_gates(spark):
     assert {(r["task"], r["n"], r["total"], r["remaining"], r["exceeded"]) for r in evaluation.call_costs(calls, 3).collect()} == {("a", 2, 3, 0, True), ("b", 1, 3, 0, True)}
     f = spark.createDataFrame([("light", 1.0, 1.0, 0.96, 1.0), ("odd", 1.0, 1.0, 0.96, 1.0)], "dirt_level string, text_recall double, image_recall double, table_row_accuracy double, deviation_ratio double")
     assert {r["dirt_level"]: r["overall"] for r in evaluation.go_no_go(f).collect()} == {"light": False, "odd": True}
+
+
+def test_distances_of_long_texts(spark):
+    rng = random.Random(7)
+
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    said = lambda n: "".join(rng.choices("ab é漢😀", k=n))
+    pairs = [(said(n), said(m)) for n, m in ((0, 0), (0, 5), (7, 3), (20, 20), (150, 90), (130, 160))] + [((x := said(300)), x[:40] + "z" + x[41:200] + x[220:]), (x, x), (x, x[1:-1:2])]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(text.levenshtein(F.col("a"), F.col("b"))).collect()] == [text.edit_distance(*p) for p in pairs] == [brute(*p) for p in pairs]
+    # A whole table of these would have 16 thousand million cells.
+    book = said(130_000)
+    long = spark.createDataFrame([(book[::2], book)], "a string, b string")
+    assert long.select(evaluation.cer(F.col("a"), F.col("b"))).first()[0] == pytest.approx(0.5, abs=0.1)
