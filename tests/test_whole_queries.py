@@ -58,3 +58,16 @@ def test_all_kinds_of_fields(spark, tmp_path):
     got = QUERIES["critical_fields"](spark, documents(spark, tmp_path, texts)).collect()
     wanted = [(i, k, m.group(0).strip()) for i, t in enumerate(texts) for k, p in text.FIELDS.items() for m in re.finditer(p, t or "")]
     assert sorted(map(tuple, got)) == sorted(wanted) and {k for _, k, _ in wanted} == set(text.FIELDS)
+
+
+def test_lines_of_one_place_keep_the_first_of_the_table(spark, tmp_path):
+    row = "{} l_orderkey, {} l_partkey, 3L l_suppkey, 5 l_linenumber, 9D l_quantity, 'A' l_returnflag, 'F' l_linestatus"
+    # Spark reads the larger file first.
+    spark.range(50).selectExpr(*(x.strip() for x in row.format("id", "605L").split(","))).coalesce(1).write.parquet(f"{tmp_path}/a")
+    spark.range(5000).selectExpr(*(x.strip() for x in row.format("id", "5L + id * 600").split(","))).coalesce(1).write.parquet(f"{tmp_path}/b")
+    table = tmp_path / "lineitem.parquet"
+    table.mkdir()
+    for part in "ab":
+        next((tmp_path / part).glob("*.parquet")).rename(table / f"{part}.parquet")
+    got = QUERIES["block_validate_dedup"](spark, str(tmp_path)).where("doc_id < 50").collect()
+    assert len(got) == 50 and {r["local_level"] for r in got} == {605 % 9}
