@@ -364,3 +364,22 @@ def test_distances_of_long_texts(spark):
     book = said(130_000)
     long = spark.createDataFrame([(book[::2], book)], "a string, b string")
     assert long.select(evaluation.cer(F.col("a"), F.col("b"))).first()[0] == pytest.approx(0.5, abs=0.1)
+
+
+def test_large_batches_are_read_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+
+    from docweave.functions import folds
+
+    # The function that a frame would map, on one batch.
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: run)
+    rows = spark.createDataFrame([], "doc_id string, content string")
+    length = lambda x: [(len(x),)]
+    n, said = 4000, "x" * 2000
+    for run, column, value in (
+        (folds.unfold(rows, "content", length, "n int"), "content", said), (folds.fold_documents(rows, ["content"], length, "n int"), "rows", [{"content": said}]), (cleaning.clean(rows), "content", said),
+    ):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(n)], column: [value] * n})
+        sizes = [out.num_rows for out in run(iter([batch]))]
+        assert sum(sizes) == n and max(sizes) * len(said) <= 2 << 20
