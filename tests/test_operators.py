@@ -368,13 +368,12 @@ def test_distances_of_long_texts(spark):
 
 def test_large_batches_are_read_in_pieces(spark, monkeypatch):
     import pyarrow as pa
-    from pyspark.sql import DataFrame
 
     from docweave.functions import folds
 
     # The function that a frame would map, on one batch.
-    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: run)
     rows = spark.createDataFrame([], "doc_id string, content string")
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: run)
     length = lambda x: [(len(x),)]
     n, said = 4000, "x" * 2000
     for run, column, value in (
@@ -383,3 +382,13 @@ def test_large_batches_are_read_in_pieces(spark, monkeypatch):
         batch = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(n)], column: [value] * n})
         sizes = [out.num_rows for out in run(iter([batch]))]
         assert sum(sizes) == n and max(sizes) * len(said) <= 2 << 20
+
+
+def test_equal_lines_look_at_each_box_once(monkeypatch):
+    calls, meet = [], verify._meet
+    monkeypatch.setattr(verify, "_meet", lambda a, b: calls.append(1) or meet(a, b))
+    box = lambda y: {"x1": 0.0, "y1": y, "x2": 9.0, "y2": y + 5}
+    row = lambda side, i, y: {"side": side, "pos": i, "id": f"{side}{i}", "bbox": box(y), "text": "same", "key": None}
+    rows = [row("b", i, 10.0 * (i % 2)) for i in range(300)] + [row("s", i, 10.0 * (i % 2) + 20) for i in range(299)] + [row("s", 299, 0.0)]
+    got = {r[3]: (r[6], r[8]) for r in verify._first_pass(rows)}
+    assert got == {"b0": ("s299", True), **{f"b{i}": (f"s{i - 1}", False) for i in range(1, 300)}} and len(calls) < 10
