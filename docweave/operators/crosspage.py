@@ -32,8 +32,12 @@ def split_paragraphs(blocks: DataFrame) -> DataFrame:
     tails, heads = _facing(blocks, 3, F.col("block_type") == "paragraph")
     said = lambda c: text.text_of(F.col(c)["text"])
     ends = F.substring(F.regexp_replace(said("tail"), text.UNICODE + r"\s+$", ""), -1, 1).isin(*text.SENTENCE_ENDS)
-    overlap = text.jaccard(text.keywords(said("tail")), text.keywords(said("head")))
-    return _first_head(tails.join(heads, ["doc_id", "next_page"]).where((said("tail") != "") & (said("head") != "") & ~ends & (overlap >= PARAGRAPH_OVERLAP)))
+    # Words are found once a block and side, not for each pair and each use; a pair without a common word can't overlap.
+    words = lambda df, c: df.select("doc_id", "next_page", F.struct(F.col(c)["pos"].alias("pos"), F.col(c)["block_id"].alias("block_id")).alias(c), F.explode(F.array(text.keywords(said(c)))).alias(f"{c}_words")).where(F.size(f"{c}_words") > 0)
+    tails, heads = words(tails.where((said("tail") != "") & ~ends), "tail"), words(heads.where(said("head") != ""), "head")
+    common = F.size(F.array_intersect("tail_words", "head_words"))
+    overlap = common / (F.size("tail_words") + F.size("head_words") - common)
+    return _first_head(tails.join(heads, ["doc_id", "next_page"]).where(overlap >= PARAGRAPH_OVERLAP))
 
 
 def split_lists(blocks: DataFrame) -> DataFrame:

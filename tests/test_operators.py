@@ -392,3 +392,12 @@ def test_equal_lines_look_at_each_box_once(monkeypatch):
     rows = [row("b", i, 10.0 * (i % 2)) for i in range(300)] + [row("s", i, 10.0 * (i % 2) + 20) for i in range(299)] + [row("s", 299, 0.0)]
     got = {r[3]: (r[6], r[8]) for r in verify._first_pass(rows)}
     assert got == {"b0": ("s299", True), **{f"b{i}": (f"s{i - 1}", False) for i in range(1, 300)}} and len(calls) < 10
+
+
+def test_words_of_split_paragraphs_are_found_before_pairs(spark):
+    x = frame(spark, [(1, "paragraph", 0, 100, "alpha beta gamma"), (2, "paragraph", 0, 100, "Beta gamma delta")])
+    found = crosspage.split_paragraphs(x)
+    assert [tuple(r) for r in found.collect()] == [(1, "b0", "b1", 0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("regexp_extract_all" in line for line in joins)
